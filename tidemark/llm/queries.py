@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import substrings
+from tidemark.llm import contamination, substrings, tokens
 from tidemark.llm.common import ID
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,16 +17,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tokens.token_counts(table(spark, sf_dir, "documents"))
+    return got.select(F.col(ID).alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tokens.packed_pieces(table(spark, sf_dir, "documents"))
+    return got.select(F.col(ID).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tokens.grammar_round_trip(table(spark, sf_dir, "documents"))
+    return got.select(F.col(ID).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select(F.col(ID).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.withColumnRenamed(ID, "doc_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
+    "op3_packing": op3_packing,
+    "op4_token_files": op4_token_files,
     "op2_substring_dedup": op2_substring_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE: dict[str, str] = {
+    "op9_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS s
+       FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS s
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+             FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, i, n FROM dw JOIN iw USING (n, s)),
+cover AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op2_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i+34], ' ') AS s
