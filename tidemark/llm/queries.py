@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, substrings, tokens
+from tidemark.llm import contamination, jaccard, substrings, tokens
 from tidemark.llm.common import ID
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col(ID).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return got.select(F.col(ID).alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.withColumnRenamed(ID, "doc_id")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op9_decontamination": op9_decontamination,
 }
 
