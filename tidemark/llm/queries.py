@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, jaccard, substrings, tokens
+from tidemark.llm import contamination, jaccard, quality, substrings, tokens, toxicity
 from tidemark.llm.common import ID
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,18 +42,36 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col(ID).alias("doc_id"), "n_shingles", "component_id")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.withColumnRenamed(ID, "doc_id").drop("_tag")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.withColumnRenamed(ID, "doc_id").drop("_tag")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.withColumnRenamed(ID, "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select(F.col(ID).alias("doc_id"), "held_out", "score", "predicted", "hits", "quoted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
