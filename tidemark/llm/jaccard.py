@@ -112,12 +112,12 @@ def shingle_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, times = np.zeros(0, U64), np.zeros(0, np.int64)
         for b in batches:
-            for _, _, buf, offs in blocks(b.column(2), 16 << 20):
+            for _, _, buf, offs in blocks(b.column(2)):
                 parts = list(shingle_sets(buf, offs, n))
                 new = np.concatenate([held, *parts]) if parts else held
                 held, at = np.unique(new, return_inverse=True)
                 times = np.bincount(at, weights=np.r_[times, np.ones(len(new) - len(times))], minlength=len(held)).astype(np.int64)
-                if len(held) > 1 << 21:  # what is rare so far goes; the order need not be exact
+                if len(held) > 1 << 19:  # what is rare so far goes; the order need not be exact
                     held, times = held[times > 1], times[times > 1]
         held, times = held[times > 2], times[times > 2]
         yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(times)], names=["token", "times"])
