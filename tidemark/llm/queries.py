@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, jaccard, quality, substrings, tokens, toxicity
+from tidemark.llm import contamination, jaccard, lm, quality, substrings, tokens, toxicity
 from tidemark.llm.common import ID
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col(ID).alias("doc_id"), "n_shingles", "component_id")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+    return got.withColumnRenamed(ID, "doc_id").drop("_tag")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.withColumnRenamed(ID, "doc_id").drop("_tag")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_files": op4_token_files,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
