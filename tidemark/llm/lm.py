@@ -29,7 +29,7 @@ VOCABULARY = CLASSES * PER_CLASS
 OWN = VOCABULARY // 2
 BORDER = VOCABULARY - 1
 #: every STRIDE-th token, by a hash of its words, is trained on
-STRIDE, BATCH, RATE, PASSES = 8, 2048, 0.15, 2
+STRIDE, BATCH, RATE, PASSES = 8, 2048, 0.5, 2
 #: networks that one group averages
 FAN_IN = 32
 
