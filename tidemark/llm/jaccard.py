@@ -13,7 +13,9 @@ Lists are never paired with themselves.  Each member is compared with the list's
 verified links give components; then only members outside the leader's component are
 compared with members of other components.  So a group of n near copies costs about n
 comparisons per list, and every pair in different components has been compared.
-Size and parity-bitmap bounds (both exact) drop pairs before texts are fetched.
+A list member carries its place in its set's order: elements before a pair's first common
+one are not shared, so what follows it bounds the overlap.  This, sizes and parity bitmaps
+are exact bounds that drop pairs before texts are fetched.
 """
 
 from __future__ import annotations
@@ -106,7 +108,8 @@ def may_link(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
 
 
 def shingle_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(_id, _tag, n, d1, d2, tokens, bits) for each row: size and digest of the set, tokens and bitmap."""
+    """(_id, _tag, n, d1, d2, tokens, skip, bits) for each row: size and digest of the set, tokens, how many of
+    the tokens are subsets, and bitmap."""
     kind = docs.schema[ID].dataType.simpleString()
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,37 +133,41 @@ def shingle_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((top["token"].to_numpy().astype(np.int64).view(U64)[order], rank))
     light = boundary(percent)
 
-    def tokens_of(s: np.ndarray, heavy: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        out = []
+    def tokens_of(s: np.ndarray, heavy: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
+        out: list[np.ndarray] = []
+        subsets = 0
         if len(s) <= light:
             out.append(np.array(subset_tokens(s, percent), dtype=U64))
+            subsets = len(out[0])
         if partners(len(s), percent)[-1] > light:
             late = np.zeros(len(s), dtype=np.int64)
             if len(heavy):
                 at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                 late = np.where(heavy[at] == s, ranks[at], 0)
             out.append(s[np.lexsort((s, late))[: prefix(len(s), percent)]])
-        return np.concatenate(out)
+        return np.concatenate(out), subsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, ranks = shared.value
         for b in batches:
             for i, j, buf, offs in blocks(b.column(2)):
-                size, d1, d2, tokens, bits = [], [], [], [], []
+                size, d1, d2, tokens, skip, bits = [], [], [], [], [], []
                 for s in shingle_sets(buf, offs, n):
                     size.append(len(s))
                     d1.append(mix(s, 34).sum(dtype=U64))
                     d2.append(mix(s, 35).sum(dtype=U64))
-                    tokens.append(tokens_of(s, heavy, ranks) if len(s) else s)
+                    found, subsets = tokens_of(s, heavy, ranks) if len(s) else (s, 0)
+                    tokens.append(found)
+                    skip.append(subsets)
                     bits.append(bitmap(s).tobytes() if len(s) else b"")
                 cuts = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(tokens).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(size, pa.int64()), pa.array(mix(np.array(d1, dtype=U64)).view(np.int64)), pa.array(np.array(d2, dtype=U64).view(np.int64)), lists, pa.array(bits, pa.binary())],
-                    names=[ID, TAG, "n", "d1", "d2", "tokens", "bits"],
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(size, pa.int64()), pa.array(mix(np.array(d1, dtype=U64)).view(np.int64)), pa.array(np.array(d2, dtype=U64).view(np.int64)), lists, pa.array(skip, pa.int32()), pa.array(bits, pa.binary())],
+                    names=[ID, TAG, "n", "d1", "d2", "tokens", "skip", "bits"],
                 )
 
-    return docs.mapInArrow(run, f"{ID} {kind}, {TAG} int, n long, d1 long, d2 long, tokens array<bigint>, bits binary")
+    return docs.mapInArrow(run, f"{ID} {kind}, {TAG} int, n long, d1 long, d2 long, tokens array<bigint>, skip int, bits binary")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -175,11 +182,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = keyed(docs, id_col, text_col)
     rows = keep(shingle_table(base, shingle, percent), "sets")
     sets = keep(
-        rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"), F.first(ID).alias(ID), F.first(TAG).alias(TAG)).withColumnRenamed("d1", "u"),
+        rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.first("tokens").alias("tokens"), F.first("skip").alias("skip"), F.first("bits").alias("bits"), F.first(ID).alias(ID), F.first(TAG).alias(TAG)).withColumnRenamed("d1", "u"),
         "distinct",
     )
-    posted = sets.select("u", "n", F.explode("tokens").alias("token"))
-    several = posted.groupBy("token").agg(F.count("*").alias("c"), F.min("u").alias("lead")).where("c > 1").select("token", "lead")
+    posted = sets.select("u", "n", "skip", F.posexplode("tokens").alias("at", "token")).select("token", "u", "n", (F.col("n") - F.greatest(F.col("at") - F.col("skip"), F.lit(0))).alias("left"))
+    # the leader has the fewest elements before the token: rarer ones are most often edits of its own
+    early = F.expr("shiftleft(n - left, 40) + (u & 1099511627775)")
+    several = posted.groupBy("token").agg(F.count("*").alias("c"), F.min_by("u", early).alias("lead"), F.min_by("n", early).alias("lead_n"), F.min_by("left", early).alias("lead_left")).where("c > 1").drop("c")
     lists = keep(posted.join(several, "token"), "lists")
 
     nodes = lists.select("u").distinct()
@@ -188,18 +197,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = keep(text.join(source, same_row(text, source)).select("u", "_z", "_size"), "texts")
     small = sets.select("u", "n", "bits")
 
-    star = lists.where("u <> lead").select(F.col("u").alias("a"), F.col("lead").alias("b")).distinct()
+    star = lists.where(f"u <> lead and {_reach('n', 'left', 'lead_n', 'lead_left', percent)}").select(F.col("u").alias("a"), F.col("lead").alias("b")).distinct()
     links = keep(verified(star, small, texts, shingle, percent), "links")
     roots = keep(components(links), "roots")
 
-    placed = lists.join(roots, lists["u"] == roots["node"], "left").select("token", "u", "n", "lead", F.coalesce("root", "u").alias("comp"))
+    placed = lists.join(roots, lists["u"] == roots["node"], "left").select("token", "u", "n", "left", "lead", F.coalesce("root", "u").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rest = keep(placed.join(mixed, "token", "left_semi"), "mixed")
     main = rest.where("u = lead").select("token", F.col("comp").alias("main")).distinct()
     rest = rest.join(main, "token")
-    minor = rest.where("comp <> main").select("token", F.col("u").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    other = rest.where("u <> lead").select("token", F.col("u").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main")
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    minor = rest.where("comp <> main").select("token", F.col("u").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
+    other = rest.where("u <> lead").select("token", F.col("u").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), "main")
+    fits = _reach("na", "la", "nb", "lb", percent)
     cross = minor.join(other, "token").where(f"ca <> cb and (cb = main or b < a) and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = keep(verified(cross, small, texts, shingle, percent), "more")
     if not more.isEmpty():
@@ -213,6 +222,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select(ID, TAG, F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(ID)).alias("component_id"))
 
 
+def _reach(na: str, la: str, nb: str, lb: str, percent: int) -> str:
+    """Whether sizes and what is left of each set from the common token on allow a link."""
+    return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({la}, {lb}) >= {percent} * ({na} + {nb})"
+
+
 def verified(pairs: DataFrame, small: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, by the bounds first and then by the texts."""
     left = small.select(F.col("u").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
