@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -43,24 +44,74 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._kept_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of keep() that no later result reads, and let Spark drop the shuffle files of written queries.
+
+    Spark's cleaner works when the driver collects garbage; written tables stand in for those
+    shuffles, so nothing has to be computed again.
+    """
+    for df in tables:
+        for entry in [e for e in _made if e[1] == getattr(df, "_kept_at", None)]:
+            _made.remove(entry)
+            _delete(*entry)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Tables:
+    """Records the tables that keep() writes in a with-block, so that drop() can delete them
+    once what was made from them is written."""
+
+    def __enter__(self) -> Tables:
+        self.before = len(_made)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.entries = _made[self.before :]
+
+    def drop(self) -> None:
+        for entry in self.entries:
+            if entry in _made:
+                _made.remove(entry)
+                _delete(*entry)
+        for spark in {e[0] for e in self.entries}:
+            release(spark)
 
 
 @atexit.register
 def forget() -> None:
     """Delete the tables that keep() has written."""
     while _made:
-        spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(*_made.pop())
         except Exception:  # noqa: BLE001  the session may have ended already
             return
 
 
+#: rows in an Arrow batch of texts, at most: texts of some kilobytes make a few megabytes
+BATCH_ROWS = 1024
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, so that a worker holds a few megabytes of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _tag, _text): null texts as empty ones, all other columns left out."""
+    modest_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias(ID), F.hash(text).alias(TAG), text.alias(TEXT))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SPACED, U64, blocks, grams, mix, words
-from tidemark.llm.common import ID, TAG, keep, keyed, packed, same_row, unpack
+from tidemark.llm.common import ID, TAG, keep, keyed, packed, release, same_row, unpack
 from tidemark.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -191,11 +191,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = posted.groupBy("token").agg(F.count("*").alias("c"), F.min_by("u", early).alias("lead"), F.min_by("n", early).alias("lead_n"), F.min_by("left", early).alias("lead_left")).where("c > 1").drop("c")
     lists = keep(posted.join(several, "token"), "lists")
 
+    release(docs.sparkSession)
     nodes = lists.select("u").distinct()
     source = sets.join(nodes, "u", "left_semi").select(ID, TAG, "u")
     text = packed(base)
     texts = keep(text.join(source, same_row(text, source)).select("u", "_z", "_size"), "texts")
     small = sets.select("u", "n", "bits")
+    release(docs.sparkSession)
 
     star = lists.where(f"u <> lead and {_reach('n', 'left', 'lead_n', 'lead_left', percent)}").select(F.col("u").alias("a"), F.col("lead").alias("b")).distinct()
     links = keep(verified(star, small, texts, shingle, percent), "links")
@@ -203,7 +205,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = lists.join(roots, lists["u"] == roots["node"], "left").select("token", "u", "n", "left", "lead", F.coalesce("root", "u").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rest = keep(placed.join(mixed, "token", "left_semi"), "mixed")
+    mixed_lists = rest = keep(placed.join(mixed, "token", "left_semi"), "mixed")
     main = rest.where("u = lead").select("token", F.col("comp").alias("main")).distinct()
     rest = rest.join(main, "token")
     minor = rest.where("comp <> main").select("token", F.col("u").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
@@ -213,6 +215,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = keep(verified(cross, small, texts, shingle, percent), "more")
     if not more.isEmpty():
         roots = keep(components(links.unionByName(more)), "roots")
+    release(docs.sparkSession, sets, lists, texts, mixed_lists)
 
     least = rows.where("n > 0").groupBy("d1").agg(F.min(ID).alias("first"))
     of_set = least.join(roots, least["d1"] == roots["node"], "left").select("d1", F.coalesce("root", "d1").alias("root"), "first")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SPACED, U64, Words, blocks, grams, mix, powers, sliding_min, words
-from tidemark.llm.common import ID, TAG, keep, keyed, packed, same_row, unpack
+from tidemark.llm.common import ID, TAG, keep, keyed, packed, release, same_row, unpack
 
 WINDOW = 35
 KMER = 8
@@ -82,6 +82,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = keep(base.mapInArrow(find, f"{ID} {kind}, {TAG} int, lo int, n int, key long, path long"), "paths")
     often = found.groupBy("key").count().where("count > 1").select("key")
     some = keep(found.join(often, "key", "left_semi"), "repeated")
+    release(docs.sparkSession, found)
 
     distinct = some.groupBy("key", "path").agg(F.count("*").alias("times"), F.first(ID).alias(ID), F.first(TAG).alias(TAG), F.first("lo").alias("lo"), F.first("n").alias("n"))
     distinct = keep(distinct, "distinct")
@@ -105,6 +106,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([v.field("key").take(at), v.field("path").take(at), v.field("times").take(at), pa.array(i.astype(np.int32)), pa.array(e)], names=["key", "path", "times", "i", "edge"])
 
     edge = keep(sources.mapInArrow(edges, "key long, path long, times long, i int, edge long"), "edges")
+    release(docs.sparkSession)
     twice = edge.groupBy("key", "edge").agg(F.sum("times").alias("times")).where("times > 1").select("key", "edge")
     partly = edge.join(twice, ["key", "edge"], "left_semi").groupBy("key", "path").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     whole = distinct.where("times > 1").select("key", "path", F.lit(-1).cast("long").alias("mask"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SPACED, grams, words
-from tidemark.llm.common import ID, keep, keyed
+from tidemark.llm.common import ID, keep, keyed, modest_batches
 
 #: labelled rows that are learned from, at most: those with the smallest hashes of their ids
 SAMPLE = 20_000
@@ -193,6 +193,7 @@ def held_out(id_col: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     """(text, label) of at most `sample` labelled rows outside the held-out fold."""
+    modest_batches(docs.sparkSession)
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).alias("label"))
     some = some.orderBy(F.xxhash64("_l"), "_l").limit(sample)
     base = docs.select(F.col(id_col).alias(ID), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
