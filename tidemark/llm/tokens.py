@@ -93,10 +93,14 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        ids = array("I")
-        for p in (word,) if word.isalpha() and word.isascii() else self.pieces(word):
-            ids.extend(self.piece(p.encode() + b"\xff"))
-        made = ids.tobytes()
+        piece = self.piece
+        if word.isascii() and (word.isalpha() or (word[-1] in ".,!?" and word[:-1].isalpha())):
+            ids = piece(word.encode() + b"\xff") if word.isalpha() else piece(word[:-1].encode() + b"\xff") + piece(word[-1].encode() + b"\xff")
+        else:
+            ids = []
+            for p in self.pieces(word):
+                ids += piece(p.encode() + b"\xff")
+        made = array("I", ids).tobytes()
         if len(self.known) < CACHE:
             self.known[word] = made
         return made
@@ -258,13 +262,16 @@ def repair(ids: np.ndarray, first_rule: int, end_id: int, rounds: int = 4) -> tu
             break
         best = often[np.argsort(-count[often], kind="stable")[: min(ROUND_PAIRS, free)]]
         rules = np.sort(ordered[cut[best]])
-        # each pair's rule, by a table over the left symbols and then a search
-        live = np.zeros(65536, dtype=bool)
-        live[rules >> np.uint32(16)] = True
-        at = np.flatnonzero(live[seq[:-1]] & can)
-        k = np.minimum(np.searchsorted(rules, pair[at]), len(rules) - 1)
-        hit = rules[k] == pair[at]
-        at, k = at[hit], k[hit]
+        # each pair's rule, by a table over the left and right symbols that rules have
+        a, row = np.unique(rules >> np.uint32(16), return_inverse=True)
+        b, col = np.unique(rules & np.uint32(0xFFFF), return_inverse=True)
+        table = np.full((len(a) + 1, len(b) + 1), -1, dtype=np.int16)
+        table[row, col] = np.arange(len(rules))
+        rows, cols = np.full(65536, len(a), dtype=np.int16), np.full(65536, len(b), dtype=np.int16)
+        rows[a], cols[b] = np.arange(len(a)), np.arange(len(b))
+        found = table[rows[seq[:-1]], cols[seq[1:]]]
+        at = np.flatnonzero((found >= 0) & can)
+        k = found[at].astype(np.int64)
         fresh = np.r_[True, at[1:] != at[:-1] + 1] if len(at) else np.zeros(0, bool)
         run = np.flatnonzero(fresh)
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
