@@ -99,3 +99,26 @@ def test_buckets_are_folders(docs, spark, tmp_path):
     tokens.write_buckets(tokens.packed_pieces(docs).select("_id", "length", "ids"), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).where(F.length("ids") != 4 * F.col("length"))
     assert back.count() == 0
+
+
+def test_word_encoder_on_random_words():
+    import random
+
+    rng = random.Random(3)
+    encode, lib = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    letters = "aeinorst" * 4 + "bcdxyz" + "AÉéßñ'.,!?-%|19 \n\u00a0\x1c\u0130Σσ"
+    for _ in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_byte_encoder_on_random_texts():
+    import random
+
+    rng = random.Random(4)
+    lib = library("byte_bpe_50k.json")
+    core, special = tokens.byte_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    letters = "aeinorst" * 3 + "bcxyz" + "AÉé'.,!|19   \n\n\t\u00a0\u3000\x1c\u200b漢🙂"
+    for _ in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+        assert core.encode(text, special) == lib.encode(text, add_special_tokens=False).ids, repr(text)

@@ -80,13 +80,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     found = keep(base.mapInArrow(find, f"{ID} {kind}, {TAG} int, lo int, n int, key long, path long"), "paths")
-    often = found.groupBy("key").count().where("count > 1").select("key")
+    # joins read written counts: with an exchange of its own on either side, Spark can split a hot key
+    often = keep(found.groupBy("key").count().where("count > 1").select("key"), "often")
     some = keep(found.join(often, "key", "left_semi"), "repeated")
     release(docs.sparkSession, found)
 
     distinct = some.groupBy("key", "path").agg(F.count("*").alias("times"), F.first(ID).alias(ID), F.first(TAG).alias(TAG), F.first("lo").alias("lo"), F.first("n").alias("n"))
     distinct = keep(distinct, "distinct")
-    branch = distinct.groupBy("key").count().where("count > 1").select("key")
+    branch = keep(distinct.groupBy("key").count().where("count > 1").select("key"), "branches")
     wanted = distinct.join(branch, "key", "left_semi").groupBy(ID, TAG).agg(F.collect_list(F.struct("key", "path", "times", "lo", "n")).alias("want"))
     text = packed(base)
     sources = text.join(wanted, same_row(text, wanted)).select("_z", "_size", wanted["want"])
@@ -107,10 +108,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     edge = keep(sources.mapInArrow(edges, "key long, path long, times long, i int, edge long"), "edges")
     release(docs.sparkSession)
-    twice = edge.groupBy("key", "edge").agg(F.sum("times").alias("times")).where("times > 1").select("key", "edge")
+    twice = keep(edge.groupBy("key", "edge").agg(F.sum("times").alias("times")).where("times > 1").select("key", "edge"), "twice")
     partly = edge.join(twice, ["key", "edge"], "left_semi").groupBy("key", "path").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     whole = distinct.where("times > 1").select("key", "path", F.lit(-1).cast("long").alias("mask"))
-    masks = whole.unionByName(partly).groupBy("key", "path").agg(F.bit_or("mask").alias("mask"))
+    masks = keep(whole.unionByName(partly).groupBy("key", "path").agg(F.bit_or("mask").alias("mask")), "masks")
+    release(docs.sparkSession, edge, twice, distinct, branch, often)
     hits = some.join(masks, ["key", "path"])
     bits = F.when(F.col("mask") == -1, F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))
     return hits.groupBy(ID, TAG).agg(F.collect_list(F.struct("lo", bits.alias("mask"))).alias("paths"))
