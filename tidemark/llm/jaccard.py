@@ -185,13 +185,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.first("tokens").alias("tokens"), F.first("skip").alias("skip"), F.first("bits").alias("bits"), F.first(ID).alias(ID), F.first(TAG).alias(TAG)).withColumnRenamed("d1", "u"),
         "distinct",
     )
-    posted = sets.select("u", "n", "skip", F.posexplode("tokens").alias("at", "token")).select("token", "u", "n", (F.col("n") - F.greatest(F.col("at") - F.col("skip"), F.lit(0))).alias("left"))
+    # size and what is left of the set from the token on share one number: most postings are alone and only pass by
+    exploded = sets.select("u", "n", "skip", F.posexplode("tokens").alias("at", "token"))
+    posted = exploded.select("token", "u", F.expr("shiftleft(n, 32) + n - greatest(at - skip, 0)").alias("p"))
+    several = keep(posted.groupBy("token").count().where("count > 1").select("token"), "several")
+    found = keep(posted.join(several, "token", "left_semi").select("token", "u", F.expr("shiftright(p, 32)").alias("n"), F.expr("p & 4294967295").alias("left")), "postings")
     # the leader has the fewest elements before the token: rarer ones are most often edits of its own
     early = F.expr("shiftleft(n - left, 40) + (u & 1099511627775)")
-    several = posted.groupBy("token").agg(F.count("*").alias("c"), F.min_by("u", early).alias("lead"), F.min_by("n", early).alias("lead_n"), F.min_by("left", early).alias("lead_left")).where("c > 1").drop("c")
-    lists = keep(posted.join(several, "token"), "lists")
+    leaders = keep(found.groupBy("token").agg(F.min_by("u", early).alias("lead"), F.min_by("n", early).alias("lead_n"), F.min_by("left", early).alias("lead_left")), "leaders")
+    lists = keep(found.join(leaders, "token"), "lists")
+    release(docs.sparkSession, several, found, leaders)
 
-    release(docs.sparkSession)
     nodes = lists.select("u").distinct()
     source = sets.join(nodes, "u", "left_semi").select(ID, TAG, "u")
     text = packed(base)
