@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import nested, physics, text
 from tidemark.operators import evaluation as ev
 from tidemark.operators import events as events_op
-from tidemark.operators import features, harmonics, intervals, tables
+from tidemark.operators import features, harmonics, intervals, reports, tables
 from tidemark.operators import series as op
 from tidemark.plans.series_queries import CLUSTERS, DAILY, SPIKES, daily, r6, spiky, table
 from tidemark.sources import readers, sinks
@@ -560,6 +560,103 @@ def linear_fit(spark, d):
     return harmonics.linear_fit_report(labelled(spark, d), "f1", ["f2", "month_sin"], F.col("day") < F.lit("2000-01-01").cast("date"))
 
 
+# ---------------------------------------------------------------- states and reports
+
+
+def era5_like(spark, d) -> DataFrame:
+    m, k = F.col("mm"), F.col("point")
+    return panel(spark, d).select(
+        "time", F.concat(F.lit("p"), "point").alias("point"), (20 + m / 50).alias("temperature_2m"), (15 + m / 60).alias("dew_point_2m"), (1000.0 + k).alias("surface_pressure"), (50 + m / 20).alias("relative_humidity_2m"), (m / 5).alias("cloud_cover"),
+        (m * 2).alias("shortwave_radiation"), (m + 100).alias("boundary_layer_height"), (m / 1000).alias("soil_moisture_0_to_7cm"), (40 + m / 30).alias("total_column_integrated_water_vapour"), (F.col("peak") / 50).alias("wind_speed_10m"), (F.col("peak") * 0.7).alias("wind_direction_10m"),
+    )
+
+
+def nwp_like(spark, d) -> DataFrame:
+    m = F.col("mm")
+    return panel(spark, d).select(
+        "time", F.concat(F.lit("p"), "point").alias("point"), (10 + m / 50).alias("temperature_850hPa"), (m / 90 - 10).alias("temperature_500hPa"), (50 + m / 20).alias("relative_humidity_850hPa"), (m * 4).alias("cape"), (-m / 100).alias("lifted_index"),
+        (F.col("peak") / 40).alias("wind_speed_850hPa"), (F.col("peak") * 0.5).alias("wind_direction_850hPa"),
+    )
+
+
+@query(f"""WITH {PANEL}, e AS (SELECT time, avg(40 + mm / 30) AS w, avg(mm * 2) AS sw, avg(20 + mm / 50) AS t FROM pan GROUP BY time),
+c AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(time AS DATE)) FROM e), (SELECT max(CAST(time AS DATE)) FROM e), INTERVAL 1 DAY)) AS DATE) AS day),
+g AS (SELECT CAST(time AS DATE) AS day, avg(w) AS wm, max(w) AS wx, sum(sw) AS sw, max(t) AS t FROM e GROUP BY 1), z AS (SELECT CAST(time AS DATE) AS day, w AS w00 FROM e WHERE hour(time) = 0)
+SELECT day, round(lag(wm) OVER (ORDER BY day), 4) AS tcwv_d1_mean, round(lag(wx) OVER (ORDER BY day), 4) AS tcwv_d1_max, round(lag(sw) OVER (ORDER BY day), 2) AS sw_d1_sum, round(w00, 4) AS tcwv_00, round(w00 - lag(w00) OVER (ORDER BY day), 4) AS tcwv_delta24, round(t, 4) AS now_t2m_max
+FROM c LEFT JOIN g USING (day) LEFT JOIN z USING (day)""")
+def state_features(spark, d):
+    f = reports.state_features(era5_like(spark, d), nwp_like(spark, d))
+    f = r6(f.select("day", "tcwv_d1_mean", "tcwv_d1_max", "sw_d1_sum", "tcwv_00", "tcwv_delta24", "now_t2m_max"), "tcwv_d1_mean", "tcwv_d1_max", "tcwv_00", "tcwv_delta24", "now_t2m_max", digits=4)
+    return r6(f, "sw_d1_sum", digits=2)
+
+
+@query()
+def state_features_all(spark, d):
+    return reports.state_features(era5_like(spark, d), nwp_like(spark, d), panel(spark, d).select("time", F.col("mm").alias("cape_previous_day1")))
+
+
+@query()
+def moisture_features(spark, d):
+    return reports.moisture_features(era5_like(spark, d), nwp_like(spark, d), POINTS)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, max(value) AS high, min(value) AS low FROM events GROUP BY 1")
+def tide_daily(spark, d):
+    return reports.tide_daily(table(spark, d, "events").select(F.col("ts").alias("time"), F.col("value").alias("tide_m")))
+
+
+@query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS x FROM lineitem GROUP BY 1),
+j AS (SELECT a.day, a.x AS a, b.x AS b FROM a JOIN b USING (day)), k AS (SELECT j.*, n.b AS b_next FROM j LEFT JOIN j n ON n.day = j.day + 1)
+SELECT count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(corr(a, b), 6) AS corr_same, round(corr(a, b_next), 6) AS corr_next FROM k""")
+def compared_series(spark, d):
+    n = lambda t, c: table(spark, d, t).groupBy(F.col(c).cast("date").alias("day")).agg(F.count("*").cast("double").alias("x"))
+    return r6(reports.compared(n("orders", "o_orderdate"), n("lineitem", "l_shipdate"), "x"), "mean_a", "mean_b", "corr_same", "corr_next")
+
+
+@query()
+def folded_seasonal_scores(spark, d):
+    return reports.folded_z_scores(ev.purged_quarters(labelled(spark, d)), ["f1", "f2"], {"z": ["z_f1", "z_f2"], "both": ["z_f1", "f2"]})
+
+
+@query()
+def model_summary(spark, d):
+    s = ev.logistic_scores(ev.expanding_folds(labelled(spark, d), CUTS), SETS)
+    return reports.summary(s.select("model", "day", "y", "score", (F.col("score") >= F.col("threshold")).alias("alert")), list(SETS), 200, 200)
+
+
+@query()
+def feature_set_scores(spark, d):
+    data = labelled(spark, d).withColumn("period", F.year("day"))
+    return reports.evaluate_sets(data, {"counts": ["f1", "f2"], "rank of f1": "f1", "mean rank": "composite"}, ["f1", "f2"])
+
+
+@query(f"""WITH {SPIKES}, f AS (SELECT day FROM sp WHERE spike), v AS (SELECT d.day + k AS day, k, n_loose AS c FROM daily d, (SELECT unnest([0, 1]) AS k)),
+ctl AS (SELECT f.day AS d0, v.k, v.c FROM f JOIN v ON v.day BETWEEN f.day - 45 AND f.day + 45 WHERE NOT EXISTS (SELECT 1 FROM f g WHERE v.day BETWEEN g.day - 3 AND g.day + 3)),
+p AS (SELECT o.k, f.day, CASE WHEN count(ctl.c) >= 20 THEN avg(CASE WHEN ctl.c < o.c THEN 1.0 WHEN ctl.c = o.c THEN 0.5 ELSE 0.0 END) END AS pct FROM f JOIN v o ON o.day = f.day LEFT JOIN ctl ON d0 = f.day AND ctl.k = o.k GROUP BY o.k, f.day)
+SELECT 'n_loose' AS series, CAST(k AS INTEGER) AS lag, count(pct) AS n, round(avg(pct), 6) AS mean_pct FROM p GROUP BY k""")
+def lag_profile(spark, d):
+    return r6(reports.lag_profile(daily(spark, d), spiky(spark, d).where("spike").select("day"), ["n_loose"], [0, 1]), "mean_pct")
+
+
+@query()
+def event_rain_ranks(spark, d):
+    from tidemark.plans.series_queries import rain_panel
+
+    rain = rain_panel(spark, d).select("time", F.col("precip_mm").alias("mm"), "point")
+    area = rain.groupBy("time").agg(F.avg("mm").alias("mm"))
+    details = op.cluster_days(spiky(spark, d).where("spike").select("day")).select("event_id", F.col("start").alias("day"))
+    local = rain.where("point = 'p1'").groupBy("time").agg(F.sum("mm").alias("mm")).crossJoin(F.broadcast(details.select("event_id")))  # tens of events
+    return reports.event_rain_ranks(local, area, details)
+
+
+@query()
+def sampling_report(spark, d):
+    from tidemark.plans.series_queries import articles
+
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("url"), F.lit("title").alias("title"), F.concat(F.lit("Banjir. "), F.col("text")).alias("text"))
+    return reports.sampling_report(articles(spark, d), op.cluster_days(spiky(spark, d).where("spike").select("day")), pages).select("event_id", F.to_json("samples").alias("samples"))
+
+
 # ---------------------------------------------------------------- sources and streams
 
 
