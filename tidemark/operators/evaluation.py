@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 # ---------------------------------------------------------------- measures
 
 
@@ -154,6 +156,7 @@ def logistic_scores(folds: DataFrame, sets: dict[str, Sequence[str]], c: float =
     A fold is a calendar's train and test days, so a group has a bounded number of rows.
     Folds with fewer than `least` train positives keep their rows with null scores.
     """
+    ship(folds.sparkSession)
     names = folds.sparkSession.createDataFrame([(n,) for n in sets], "model string")
     columns = sorted({x for s in sets.values() for x in s})
     wanted = {n: list(s) for n, s in sets.items()}
@@ -215,6 +218,7 @@ def resampled(rows: DataFrame, columns: Sequence[str], draw, n: int, seed: int =
     """(rep, value) of n resamples.  rows is one model's days, a bounded calendar, which goes to every chunk of
     replicates; draw(frame, rng) gives one value.  Each replicate has its own generator, so results do not depend on
     the partitioning."""
+    ship(rows.sparkSession)
     data = rows.select(*columns).orderBy(*columns).toPandas()  # days of one calendar
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,7 @@ from tidemark.functions.columns import nulled, rolling, series
 from tidemark.operators import evaluation as ev
 from tidemark.operators import events, features, intervals
 from tidemark.operators import series as op
+from tidemark.session import ship
 
 # When the regional model's archive starts, and the columns of its part.
 NWP_START = "2021-04-01"
@@ -113,6 +114,7 @@ def compared(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 
 def folded_z_scores(folds: DataFrame, raw: Sequence[str], sets: dict[str, Sequence[str]], c: float = 0.1, y: str = "y", least: int = 3) -> DataFrame:
     """logistic_scores on seasonal z-scores z_{column}, whose climatology each fold fits on its own train rows."""
+    ship(folds.sparkSession)
     columns = sorted({*raw, *(x for s in sets.values() for x in s if not x.startswith("z_"))})
     kind = folds.schema["fold"].dataType.simpleString()
     wanted = {n: list(s) for n, s in sets.items()}
@@ -151,6 +153,7 @@ def summary(scores: DataFrame, probabilistic: Sequence[str] = (), n_boot: int =
 
     All resampling is one job: a group is one model's days and one chunk of replicates.
     """
+    ship(scores.sparkSession)
     s = scores.where("score is not null")
     by = ["model"]
     base = s.groupBy("model").agg(F.count("*").alias("n_days"), F.sum("y").alias("n_flood"), F.avg("y").alias("base_rate"))

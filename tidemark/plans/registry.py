@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import content_queries, series_queries
+from tidemark.session import ship
 
 _MODULES = (series_queries, content_queries)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _shipped(v) for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

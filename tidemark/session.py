@@ -3,10 +3,31 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application.
+
+    Functions on Arrow batches are pickled by reference to their module, which an executor
+    need not have installed.  Spark's file server hands out the archive.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp()), "tidemark-code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._tidemark_shipped = True
+
+
 def local_session(cpus: int | None = None, name: str = "tidemark") -> SparkSession:
     """A local session with UTC time, AQE, and as many shuffle partitions as threads."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
