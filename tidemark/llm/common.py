@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 ID, TAG, TEXT = "_id", "_tag", "_text"
 _made: list[tuple[SparkSession, str]] = []
 
@@ -103,7 +105,8 @@ BATCH_ROWS = 1024
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS, so that a worker holds a few megabytes of texts."""
+    """Lower the session's Arrow batches to BATCH_ROWS, so that a worker holds a few megabytes of texts; send the code."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
