@@ -29,6 +29,8 @@ SAMPLE = 20_000
 SUPPORT, SHARE, RATIO = 5, 0.02, 5.0
 #: weights, which are logarithms of that ratio, go no higher
 WEIGHT = 6.0
+#: share of a stem's texts that one word may have
+ONE_WORD = 0.8
 #: terms of less weight are seen in other texts too, and count apart
 SURE = 4.0
 STEMS = range(4, 9)
@@ -227,7 +229,11 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     ratio = (F.col("pos") + 0.5) / (toxic + 1) / ((F.col("neg") + 0.5) / (other + 1))
     best = counted.where(F.col("pos") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("pos"), "term").limit(TERMS).collect()
     found = {r["term"]: min(WEIGHT, float(np.log(r["ratio"]))) for r in best}
-    return {t: w for t, w in found.items() if t[0] != "^"}, {t[1:]: w for t, w in found.items() if t[0] == "^"}
+    times = {r["term"]: r["pos"] for r in best}
+    terms = {t: w for t, w in found.items() if t[0] != "^"}
+    # a stem that one word accounts for is that word, and would catch innocent words
+    stems = {t[1:]: w for t, w in found.items() if t[0] == "^" and max((times[x] for x in terms if x.startswith(t[1:])), default=0) < ONE_WORD * times[t]}
+    return terms, stems
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
