@@ -1,6 +1,6 @@
 """Shared folder, keys and small helpers of the text operators.
 
-Rows of documents are told apart by their id and a 32-bit hash of their text,
+Rows of documents are told apart by their id and a 64-bit hash of their text,
 so an id may be null or occur on several rows; rows equal in both get equal results.
 """
 
@@ -116,7 +116,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(_id, _tag, _text): null texts as empty ones, all other columns left out."""
     modest_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias(ID), F.hash(text).alias(TAG), text.alias(TEXT))
+    return docs.select(F.col(id_col).alias(ID), F.xxhash64(text).alias(TAG), text.alias(TEXT))
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -136,7 +136,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 names=[ID, TAG, "_z", "_size"],
             )
 
-    return docs.mapInArrow(run, f"{ID} {kind}, {TAG} int, _z binary, _size int")
+    return docs.mapInArrow(run, f"{ID} {kind}, {TAG} long, _z binary, _size int")
 
 
 @functools.cache

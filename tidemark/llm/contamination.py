@@ -124,7 +124,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                 lists = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array((at - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "b", "place", "n"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(w.first).astype(np.int64)), lists], names=[ID, TAG, "n_words", "suspects"])
 
-    rows = keep(base.mapInArrow(suspects, f"{ID} {kind}, {TAG} int, n_words long, suspects array<struct<a:bigint,b:bigint,place:int,n:int>>"), "suspects")
+    rows = keep(base.mapInArrow(suspects, f"{ID} {kind}, {TAG} long, n_words long, suspects array<struct<a:bigint,b:bigint,place:int,n:int>>"), "suspects")
     asked = rows.where(F.size("suspects") > 0).select(ID, TAG, F.explode("suspects").alias("s")).select(ID, TAG, "s.*")
     hits = asked.join(wanted.select("item", "n", "a", "b").distinct(), ["a", "b", "n"]).select(ID, TAG, "item", "place", "n")
     return rows.select(ID, TAG, "n_words"), hits
@@ -166,5 +166,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     """The rows of docs, all columns, that share no window with the items."""
     _, hits = find_hits(docs, items, id_col, text_col)
     bad = hits.select(F.col(ID).alias("_bad_id"), F.col(TAG).alias("_bad_tag")).distinct()
-    tag = F.hash(F.coalesce(docs[text_col], F.lit("")))
+    tag = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (tag == bad["_bad_tag"]), "left_anti")

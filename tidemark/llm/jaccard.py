@@ -167,7 +167,7 @@ def shingle_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     names=[ID, TAG, "n", "d1", "d2", "tokens", "skip", "bits"],
                 )
 
-    return docs.mapInArrow(run, f"{ID} {kind}, {TAG} int, n long, d1 long, d2 long, tokens array<bigint>, skip int, bits binary")
+    return docs.mapInArrow(run, f"{ID} {kind}, {TAG} long, n long, d1 long, d2 long, tokens array<bigint>, skip int, bits binary")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

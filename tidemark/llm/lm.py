@@ -230,5 +230,5 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     names=[ID, TAG, "n_tokens", "log_likelihood", "rare_words"],
                 )
 
-    out = base.mapInArrow(run, f"{ID} {kind}, {TAG} int, n_tokens long, log_likelihood double, rare_words long")
+    out = base.mapInArrow(run, f"{ID} {kind}, {TAG} long, n_tokens long, log_likelihood double, rare_words long")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -79,7 +79,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=[ID, TAG, "lo", "n", "key", "path"],
                 )
 
-    found = keep(base.mapInArrow(find, f"{ID} {kind}, {TAG} int, lo int, n int, key long, path long"), "paths")
+    found = keep(base.mapInArrow(find, f"{ID} {kind}, {TAG} long, lo int, n int, key long, path long"), "paths")
     # joins read written counts: with an exchange of its own on either side, Spark can split a hot key
     often = keep(found.groupBy("key").count().where("count > 1").select("key"), "often")
     some = keep(found.join(often, "key", "left_semi"), "repeated")
@@ -164,4 +164,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=[ID, TAG, "kept", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return joined.mapInArrow(cut, f"{ID} {kind}, {TAG} int, kept string, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(cut, f"{ID} {kind}, {TAG} long, kept string, n_words long, n_removed long, kept_sha256 string")
