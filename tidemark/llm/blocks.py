@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes that are handled at once; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
-_HASH_SPAN = 1 << 19
+BLOCK_BYTES = 1 << 20
+_HASH_SPAN = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -48,12 +48,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return z ^ (z >> U64(31))
 
 
+_MOST_POWERS = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _POWERS.get(base)
+    if have is not None and len(have[0]) > max(n, _MOST_POWERS):  # those of a giant text
+        have = None
     if have is None or len(have[0]) < n:
         size = 1 << max(10, int(n - 1).bit_length())
         inv = pow(base, -1, 1 << 64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import ALNUM, U64, Words, blocks, grams, mix, sliding_min, words
-from tidemark.llm.common import ID, TAG, keep, keyed, same_row
+from tidemark.llm.common import ID, TAG, keep, keyed, lean, same_row
 
 WINDOW = 10
 KMER = 5
@@ -79,7 +79,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                     d = np.searchsorted(w.first, at, side="right") - 1
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d + i)), pa.array(n.astype(np.int32)), pa.array(prints.view(np.int64)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["item", "n", "print", "a", "b"])
 
-    wanted = keep(bench.mapInArrow(item_windows, f"item {item_kind}, n int, print long, a long, b long"), "items")
+    wanted = keep(bench.mapInArrow(lean(item_windows), f"item {item_kind}, n int, print long, a long, b long"), "items")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, lengths = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8), set()
@@ -93,7 +93,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
     # one filter for each task; their number is fixed, and so is the size of each
     bloom, lengths = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8), set()
-    for row in wanted.select("print", "n").coalesce(16).mapInArrow(bits, "at binary, bits binary, lengths array<int>").toLocalIterator():
+    for row in wanted.select("print", "n").coalesce(16).mapInArrow(lean(bits), "at binary, bits binary, lengths array<int>").toLocalIterator():
         at = np.frombuffer(row["at"], "<u4")
         bloom[at] |= np.frombuffer(row["bits"], np.uint8)
         lengths.update(row["lengths"])
@@ -124,7 +124,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                 lists = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array((at - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "b", "place", "n"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(w.first).astype(np.int64)), lists], names=[ID, TAG, "n_words", "suspects"])
 
-    rows = keep(base.mapInArrow(suspects, f"{ID} {kind}, {TAG} long, n_words long, suspects array<struct<a:bigint,b:bigint,place:int,n:int>>"), "suspects")
+    rows = keep(base.mapInArrow(lean(suspects), f"{ID} {kind}, {TAG} long, n_words long, suspects array<struct<a:bigint,b:bigint,place:int,n:int>>"), "suspects")
     asked = rows.where(F.size("suspects") > 0).select(ID, TAG, F.explode("suspects").alias("s")).select(ID, TAG, "s.*")
     hits = asked.join(wanted.select("item", "n", "a", "b").distinct(), ["a", "b", "n"]).select(ID, TAG, "item", "place", "n")
     return rows.select(ID, TAG, "n_words"), hits
@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 sha.append(hashlib.sha256(",".join(some or ()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=[ID, "n_words", "n_hit", "n_items", "items_sha256"])
 
-    return joined.mapInArrow(count, f"{ID} {kind}, n_words long, n_hit long, n_items long, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
+    return joined.mapInArrow(lean(count), f"{ID} {kind}, n_words long, n_hit long, n_items long, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

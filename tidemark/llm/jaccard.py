@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SPACED, U64, blocks, grams, mix, words
-from tidemark.llm.common import ID, TAG, keep, keyed, packed, release, same_row, unpack
+from tidemark.llm.common import ID, TAG, keep, keyed, lean, packed, release, same_row, unpack
 from tidemark.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -125,7 +125,7 @@ def shingle_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
         held, times = held[times > 2], times[times > 2]
         yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(times)], names=["token", "times"])
 
-    common = docs.mapInArrow(frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
+    common = docs.mapInArrow(lean(frequent), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
     top = common.orderBy(F.desc("times"), "token").limit(MOST).toPandas()  # at most MOST rows
     order = np.argsort(top["token"].to_numpy().astype(np.int64).view(U64))
     rank = np.empty(len(order), dtype=np.int64)
@@ -167,7 +167,7 @@ def shingle_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     names=[ID, TAG, "n", "d1", "d2", "tokens", "skip", "bits"],
                 )
 
-    return docs.mapInArrow(run, f"{ID} {kind}, {TAG} long, n long, d1 long, d2 long, tokens array<bigint>, skip int, bits binary")
+    return docs.mapInArrow(lean(run), f"{ID} {kind}, {TAG} long, n long, d1 long, d2 long, tokens array<bigint>, skip int, bits binary")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, small: DataFrame, texts: DataFrame, shingle: int,
             ok = [may_link(*x, percent) for x in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    few = keep(bound.mapInArrow(prune, "a long, b long"), "pairs")
+    few = keep(bound.mapInArrow(lean(prune), "a long, b long"), "pairs")
     ta = texts.select(F.col("u").alias("a"), F.col("_z").alias("za"), F.col("_size").alias("sa"))
     tb = texts.select(F.col("u").alias("b"), F.col("_z").alias("zb"), F.col("_size").alias("sb"))
 
@@ -267,4 +267,4 @@ def verified(pairs: DataFrame, small: DataFrame, texts: DataFrame, shingle: int,
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return few.join(ta, "a").join(tb, "b").select("a", "za", "sa", "b", "zb", "sb").mapInArrow(check, "a long, b long")
+    return few.join(ta, "a").join(tb, "b").select("a", "za", "sa", "b", "zb", "sb").mapInArrow(lean(check), "a long, b long")

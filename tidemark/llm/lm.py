@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SPACED, U64, Words, blocks, mix, words
-from tidemark.llm.common import ID, TAG, keep, keyed
+from tidemark.llm.common import ID, TAG, keep, keyed, lean
 
 CLASSES, PER_CLASS, DIM, WINDOW = 32, 64, 16, 2
 VOCABULARY = CLASSES * PER_CLASS
@@ -140,7 +140,7 @@ def vocabulary(base: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 h, n = np.unique(words(buf, offs, SPACED).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "times"])
 
-    counts = base.mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    counts = base.mapInArrow(lean(count), "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
     top = counts.orderBy(F.desc("times"), "word").limit(OWN).select("word").collect()
     return counts, np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(U64))
 
@@ -184,7 +184,7 @@ def train(base: DataFrame, own: np.ndarray) -> Network:
             seen += _passes(net, waiting)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([net.flat.astype(np.float16).tobytes()], pa.binary()), pa.array([float(seen)])], names=["part", "flat", "n"])
 
-    parts = keep(base.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(fit, "part long, flat binary, n double"), "networks").where("n > 0")
+    parts = keep(base.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(lean(fit), "part long, flat binary, n double"), "networks").where("n > 0")
     found = averaged(parts).select("flat").collect()  # one row of Network.size() numbers
     return Network(np.frombuffer(found[0]["flat"], np.float16).astype(np.float32).copy()) if found else Network()
 
@@ -230,5 +230,5 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     names=[ID, TAG, "n_tokens", "log_likelihood", "rare_words"],
                 )
 
-    out = base.mapInArrow(run, f"{ID} {kind}, {TAG} long, n_tokens long, log_likelihood double, rare_words long")
+    out = base.mapInArrow(lean(run), f"{ID} {kind}, {TAG} long, n_tokens long, log_likelihood double, rare_words long")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

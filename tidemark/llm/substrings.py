@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SPACED, U64, Words, blocks, grams, mix, powers, sliding_min, words
-from tidemark.llm.common import ID, TAG, keep, keyed, packed, release, same_row, unpack
+from tidemark.llm.common import ID, TAG, keep, keyed, lean, packed, release, same_row, unpack
 
 WINDOW = 35
 KMER = 8
@@ -79,7 +79,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=[ID, TAG, "lo", "n", "key", "path"],
                 )
 
-    found = keep(base.mapInArrow(find, f"{ID} {kind}, {TAG} long, lo int, n int, key long, path long"), "paths")
+    found = keep(base.mapInArrow(lean(find), f"{ID} {kind}, {TAG} long, lo int, n int, key long, path long"), "paths")
     # joins read written counts: with an exchange of its own on either side, Spark can split a hot key
     often = keep(found.groupBy("key").count().where("count > 1").select("key"), "often")
     some = keep(found.join(often, "key", "left_semi"), "repeated")
@@ -106,7 +106,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at = pa.array(rep)
                 yield pa.RecordBatch.from_arrays([v.field("key").take(at), v.field("path").take(at), v.field("times").take(at), pa.array(i.astype(np.int32)), pa.array(e)], names=["key", "path", "times", "i", "edge"])
 
-    edge = keep(sources.mapInArrow(edges, "key long, path long, times long, i int, edge long"), "edges")
+    edge = keep(sources.mapInArrow(lean(edges), "key long, path long, times long, i int, edge long"), "edges")
     release(docs.sparkSession)
     twice = keep(edge.groupBy("key", "edge").agg(F.sum("times").alias("times")).where("times > 1").select("key", "edge"), "twice")
     partly = edge.join(twice, ["key", "edge"], "left_semi").groupBy("key", "path").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
@@ -164,4 +164,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=[ID, TAG, "kept", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return joined.mapInArrow(cut, f"{ID} {kind}, {TAG} long, kept string, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(lean(cut), f"{ID} {kind}, {TAG} long, kept string, n_words long, n_removed long, kept_sha256 string")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ID, TAG, keyed
+from tidemark.llm.common import ID, TAG, cache, keyed, lean
 
 # Fixed values of the public vocabularies.
 BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -127,6 +127,9 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+cache("byte encoder", byte_encoder.cache_clear)
+cache("word encoder", word_encoder.cache_clear)
+
 # ---------------------------------------------------------------- counts
 
 
@@ -163,7 +166,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size = pc.binary_length(part.column(2)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n, pa.int64()), pa.array([f.total() for f in frequency], pa.int64())], names=[ID, "n_bytes", "n_tokens", "n_pretokens"])
 
-    return base.mapInArrow(run, f"{ID} {kind}, n_bytes long, n_tokens long, n_pretokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return base.mapInArrow(lean(run, "byte encoder"), f"{ID} {kind}, n_bytes long, n_tokens long, n_pretokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 # ---------------------------------------------------------------- packing
@@ -221,7 +224,7 @@ def packed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=[ID, "start", "length", "ids", "ids_crc32", "doc_tokens"],
                 )
 
-    made = base.mapInArrow(run, f"{ID} {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
+    made = base.mapInArrow(lean(run, "byte encoder"), f"{ID} {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
     bucket = F.expr("shiftleft(cast(round(log2(length)) as long), 58)")
     return made.withColumns({"sequence_id": bucket.bitwiseOR(F.monotonically_increasing_id()), "offset": F.lit(0).cast("long")})
 
@@ -372,7 +375,7 @@ def write_grammar(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, f"{FILE_SCHEMA}, doc_ids array<{kind}>").write.parquet(path)
+    ordered.mapInArrow(lean(run, "word encoder"), f"{FILE_SCHEMA}, doc_ids array<{kind}>").write.parquet(path)
 
 
 def read_grammar(files: DataFrame) -> DataFrame:
@@ -400,7 +403,7 @@ def read_grammar(files: DataFrame) -> DataFrame:
                         names=[ID, "start", "n_tokens", "ids", "ids_crc32"],
                     )
 
-    return placed.mapInArrow(run, f"{ID} {kind}, start long, n_tokens long, ids binary, ids_crc32 long")
+    return placed.mapInArrow(lean(run), f"{ID} {kind}, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
 def grammar_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

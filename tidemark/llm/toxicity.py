@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SPACED, grams, words
-from tidemark.llm.common import ID, keep, keyed, modest_batches
+from tidemark.llm.common import ID, keep, keyed, lean, modest_batches
 
 #: labelled rows that are learned from, at most: those with the smallest hashes of their ids
 SAMPLE = 20_000
@@ -220,7 +220,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
                 out.append([*whole, *{"^" + x[:k] for x in whole for k in STEMS if len(x) > k}])
             yield pa.RecordBatch.from_arrays([pa.array(sign, pa.int64()), pa.array(label, pa.int32()), pa.array(out, pa.list_(pa.string()))], names=["sign", "label", "terms"])
 
-    unique = rows.mapInArrow(terms, "sign long, label int, terms array<string>").dropDuplicates(["sign", "label"])
+    unique = rows.mapInArrow(lean(terms), "sign long, label int, terms array<string>").dropDuplicates(["sign", "label"])
     unique = keep(unique, "terms")
     n = {r["label"]: r["count"] for r in unique.groupBy("label").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
@@ -270,7 +270,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
-    seen = rows.mapInArrow(train, "x array<double>, label int").groupBy("x", "label").count().collect()  # of at most `sample` rows
+    seen = rows.mapInArrow(lean(train), "x array<double>, label int").groupBy("x", "label").count().collect()  # of at most `sample` rows
     x, y = np.array([r["x"] for r in seen], dtype=float).reshape(-1, 6), np.array([r["label"] for r in seen], dtype=float)
     times = np.array([r["count"] for r in seen], dtype=int)
     weights, bias = fit_logistic(np.repeat(x, times, axis=0), np.repeat(y, times))
@@ -289,4 +289,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             score = 1 / (1 + np.exp(-np.clip(f @ weights + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(f[:, :3].sum(axis=1)), pa.array(f[:, 4])], names=[ID, "score", "predicted", "hits", "quoted"])
 
-    return base.mapInArrow(run, f"{ID} {kind}, score double, predicted int, hits double, quoted double").withColumn("held_out", held_out(F.col(ID)))
+    return base.mapInArrow(lean(run), f"{ID} {kind}, score double, predicted int, hits double, quoted double").withColumn("held_out", held_out(F.col(ID)))
