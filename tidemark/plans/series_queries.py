@@ -94,15 +94,15 @@ rain AS (SELECT day, rain_daily, rain_hourly, total_mean FROM rcal LEFT JOIN rai
 
 
 def rain_days(spark: SparkSession, d: str) -> DataFrame:
-    return op.densify(features.rain_daily(rain_panel(spark, d)))
+    return op.densify(features.rain_daily(rain_panel(spark, d))).cache()  # a row for each day
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
-    return op.tier_counts(articles(spark, d))
+    return op.tier_counts(articles(spark, d)).cache()  # a row for each day, read by several branches
 
 
 def spiky(spark: SparkSession, d: str) -> DataFrame:
-    return op.detect_spikes(daily(spark, d), **SPIKE)
+    return op.detect_spikes(daily(spark, d), **SPIKE).cache()
 
 
 def r6(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
