@@ -126,6 +126,14 @@ def test_network_learns_and_is_normalised():
     assert np.exp(net.log_probability(one, np.arange(lm.VOCABULARY))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_token_is_trained_on(docs, monkeypatch):
+    some, seen, plain = docs.where("doc_id % 7 = 0"), [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda parts: seen.append(parts.agg(F.sum("n")).first()[0]) or plain(parts))
+    base = lm.keyed(some)
+    lm.train(base, lm.vocabulary(base)[1])
+    assert seen == [sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in some.select("text").collect())]
+
+
 def test_scores_are_sums(docs, odd, spark):
     got = lm.pseudo_likelihood(docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")))
     assert got.count() == docs.count() + odd.count()

@@ -5,7 +5,7 @@ are summed and squashed, and a two-level softmax (class, then token within the c
 gives the conditional probability.  The sum of the logarithms over a text scores it.
 
 The vocabulary is the most frequent words of all texts, the other words share hash
-buckets.  The network is trained in numpy on every partition of all texts, each for itself
+buckets.  The network is trained in numpy on every token of every partition, each for itself
 from the same start, and the networks are averaged in a tree of groups, weighted by their
 tokens; what is shuffled grows with the corpus, what a task holds does not.
 """
@@ -28,8 +28,7 @@ VOCABULARY = CLASSES * PER_CLASS
 #: words that have a token of their own; other words share the remaining tokens, but for the last, the text's border
 OWN = VOCABULARY // 2
 BORDER = VOCABULARY - 1
-#: every STRIDE-th token, by a hash of its words, is trained on
-STRIDE, BATCH, RATE, PASSES = 8, 2048, 0.5, 2
+BATCH, RATE, PASSES = 2048, 0.5, 2
 #: networks that one group averages
 FAN_IN = 32
 
@@ -173,10 +172,7 @@ def train(base: DataFrame, own: np.ndarray) -> Network:
             for _, _, buf, offs in blocks(b.column(2)):
                 w = words(buf, offs, SPACED)
                 ids = token_ids(w, own)
-                around = contexts(ids, w.first)
-                with np.errstate(over="ignore"):
-                    pick = mix(w.hash + np.r_[U64(0), w.hash[:-1]] * U64(3) + np.arange(len(w)).astype(U64), 62) % U64(STRIDE) == 0 if len(w) else np.zeros(0, bool)
-                waiting.append((around[pick], ids[pick]))
+                waiting.append((contexts(ids, w.first), ids))
                 if sum(len(t) for _, t in waiting) >= 4 * BATCH:
                     seen += _passes(net, waiting)
                     waiting = []
