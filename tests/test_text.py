@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import nested, physics, text
 from tidemark.operators import harmonics
+from tidemark.plans import registry
 from tidemark.sources import readers, sinks
 from tidemark.streaming import feed
 
@@ -142,3 +143,12 @@ def test_feed_stream_resumes(spark, tmp_path):
     run()
     run()
     assert sorted(r["DocumentIdentifier"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u1", "u2"]
+
+
+def test_times_of_whole_turns(spark, tmp_path):
+    said = ["short, at 9pm", "word " * 60 + "then 11.15 pm and pukul 3 pagi", "x" * 99 + " 8 am" + " y" * 500 + " 5pm", ""]
+    rows = [(k // 2, k % 2, s) for k, s in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = [(c, t, x["hour"], x["kind"]) for c, t, s in rows for x in text.times_in(f"pukul {t % 13} petang until 6pm, at 7.30 am {s}")]
+    got = [tuple(r) for r in registry.QUERIES["extract_times"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {(0, 1, 23.25), (1, 0, 17.0)} <= {r[:3] for r in got}

@@ -236,7 +236,7 @@ def cache_key(spark, d):
 
 @query()
 def extract_times(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("pukul "), F.col("turn") % 13, F.lit(" petang until 6pm, at 7.30 am "), F.substring("text", 1, 100)).alias("t"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("pukul "), F.col("turn") % 13, F.lit(" petang until 6pm, at 7.30 am "), "text").alias("t"))
     return c.select("conv_id", "turn", F.explode(text.extract_times("t")).alias("x")).select("conv_id", "turn", "x.hour", "x.kind")
 
 
