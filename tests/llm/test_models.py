@@ -68,6 +68,23 @@ def test_filter_sees_every_odd_text(odd, labels, docs):
     assert none.count() == odd.count() and none.where("not kept").count() == 0
 
 
+def test_ranges_come_from_all_trusted_rows(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(rng.randint(5, 120)))
+    rows = [(k, text(), "xx" if k >= 700 else "en") for k in range(720)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sure = spark.createDataFrame([(k, 1) for k in range(701)], "doc_id long, quality int")
+    got = quality.quality_classifier(d, sure, sample=60).toPandas().set_index(ID)
+    for lang, ids in (("en", range(700)), ("xx", range(701))):  # one trusted row is not enough for a range
+        h = np.log(got.loc[list(ids), "perplexity"])
+        lo, mid, hi = np.quantile(h, [quality.LOW, 0.5, quality.HIGH])
+        one = got[got["lang"] == lang].iloc[0]
+        assert np.log(one["low"]) == pytest.approx(lo - quality.MARGIN * (mid - lo), abs=1e-4)
+        assert np.log(one["high"]) == pytest.approx(hi + quality.MARGIN * (hi - mid), abs=1e-4)
+    assert got.loc[range(700, 720), "kept"].mean() > 0.9
+    assert quality.keep_good(d, sure, sample=60).count() == got["kept"].sum()
+
+
 def test_kneser_ney_sums_to_one(spark):
     rng = np.random.default_rng(1)
     buf = np.frombuffer("".join(rng.choice(list("abcde .,"), 4000)).encode(), np.uint8)
