@@ -151,6 +151,28 @@ def test_every_token_is_trained_on(docs, monkeypatch):
     assert seen == [sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in some.select("text").collect())]
 
 
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 400, 0])
+def test_words_have_their_share_of_a_bucket(docs, monkeypatch, frequent):
+    some, plain, net = docs.where("doc_id % 29 = 0").select("doc_id", "text"), lm.vocabulary, lm.Network()
+    own = plain(lm.keyed(some))[1][::40]
+    monkeypatch.setattr(lm, "vocabulary", lambda base: (plain(base)[0], own))
+    monkeypatch.setattr(lm, "train", lambda base, own: net)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    split, times, total = {}, Counter(), Counter()
+    for r in some.collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        split[r["doc_id"]] = w = words(raw, np.array([0, len(raw)]), SPACED)
+        for h, t in zip(w.hash.tolist(), lm.token_ids(w, own).tolist(), strict=True):
+            times[h] += 1
+            total[t] += 1
+    got = {r[ID]: r["log_likelihood"] for r in lm.pseudo_likelihood(some).collect()}
+    for k, w in split.items():
+        ids = lm.token_ids(w, own)
+        want = net.log_probability(lm.contexts(ids, w.first), ids).astype(float).sum() if len(ids) else 0
+        want += sum(np.log(times[h] / total[t]) for h, t in zip(w.hash.tolist(), ids.tolist(), strict=True) if t >= lm.OWN)
+        assert got[k] == pytest.approx(want, rel=1e-6)
+
+
 def test_scores_are_sums(docs, odd, spark):
     got = lm.pseudo_likelihood(docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")))
     assert got.count() == docs.count() + odd.count()

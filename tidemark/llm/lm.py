@@ -5,7 +5,9 @@ are summed and squashed, and a two-level softmax (class, then token within the c
 gives the conditional probability.  The sum of the logarithms over a text scores it.
 
 The vocabulary is the most frequent words of all texts, the other words share hash
-buckets.  The network is trained in numpy on every token of every partition, each for itself
+buckets.  A word in a bucket has the bucket's probability times its share of the bucket's
+words in all texts: the shares of the next FREQUENT words are broadcast, those of all others
+are joined.  The network is trained in numpy on every token of every partition, each for itself
 from the same start, and the networks are averaged in a tree of groups, weighted by their
 tokens; what is shuffled grows with the corpus, what a task holds does not.
 """
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ VOCABULARY = CLASSES * PER_CLASS
 #: words that have a token of their own; other words share the remaining tokens, but for the last, the text's border
 OWN = VOCABULARY // 2
 BORDER = VOCABULARY - 1
+#: words whose counts are broadcast, at most; all other counts are joined
+FREQUENT = 1 << 18
 BATCH, RATE, PASSES = 2048, 0.5, 2
 #: networks that one group averages
 FAN_IN = 32
@@ -110,11 +115,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def token_ids(w: Words, own: np.ndarray) -> np.ndarray:
     """Token of each word: its place among `own` (sorted hashes), or a shared bucket."""
-    other = OWN + (mix(w.hash, 61) % U64(BORDER - OWN)).astype(np.int64)
-    if not len(own):
-        return other
-    at = np.minimum(np.searchsorted(own, w.hash), len(own) - 1)
-    return np.where(own[at] == w.hash, at, other)
+    return _ids(w.hash, own)
+
+
+def _ids(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    at, found = _find(h, own)
+    return np.where(found, at, OWN + (mix(h, 61) % U64(BORDER - OWN)).astype(np.int64))
+
+
+def _find(h: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash among sorted ones, and whether it is there."""
+    if not len(among):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+    return at, among[at] == h
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -139,11 +153,38 @@ def vocabulary(base: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 h, n = np.unique(words(buf, offs, SPACED).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "times"])
 
-    counts = base.mapInArrow(lean(count), "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    counts = keep(base.mapInArrow(lean(count), "word long, times long").groupBy("word").agg(F.sum("times").alias("times")), "words")
     top = counts.orderBy(F.desc("times"), "word").limit(OWN).select("word").collect()
     return counts, np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(U64))
 
 
+def shares(counts: DataFrame, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Logarithms of the words of each bucket; hashes of frequent words and logarithms of their
+    times; (word, log) of all others, without those that occur once, whose logarithm is 0."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VOCABULARY)
+        for b in batches:
+            total += np.bincount(_ids(b.column(0).to_numpy().view(U64), own), weights=b.column(1).to_numpy(), minlength=VOCABULARY)
+        at = np.flatnonzero(total[OWN:])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[OWN:][at].astype(np.int64))], names=["bucket", "times"])
+
+    total = np.ones(BORDER - OWN)
+    for r in counts.mapInArrow(lean(add), "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times")).collect():  # a row for each bucket
+        total[r["bucket"]] = r["times"]
+    level = F.floor(F.log2("times") * 4)
+    least, left = None, FREQUENT
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 256 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    common = F.lit(False) if least is None else level >= least
+    some = counts.where(common).toPandas().sort_values("word", key=lambda x: x.to_numpy().view(U64))  # at most FREQUENT rows
+    rest = counts.where(~common & (F.col("times") > 1)).select("word", F.log("times").alias("log"))
+    return np.log(total), some["word"].to_numpy(np.int64).view(U64), np.log(some["times"].to_numpy(float)), rest
+
+
 def averaged(parts: DataFrame) -> DataFrame:
     """Average the networks (part, flat, n) in groups of FAN_IN until one is left."""
 
@@ -195,6 +236,15 @@ def _passes(net: Network, waiting: list[tuple[np.ndarray, np.ndarray]]) -> int:
     return len(token)
 
 
+def _pairs(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text and their times, with the cuts between texts."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(h)])
+    return np.searchsorted(doc[first], np.arange(docs + 1)).astype(np.int32), h[first].view(np.int64), times.astype(np.int32)
+
+
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _tag, n_tokens, log_likelihood, mean_log_likelihood, rare_words), one row for each row of docs.
 
@@ -203,13 +253,14 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     base = keyed(docs, id_col, text_col)
     kind = base.schema[ID].dataType.simpleString()
-    _, own = vocabulary(base)
+    counts, own = vocabulary(base)
     net = train(base, own)
-    shared = docs.sparkSession.sparkContext.broadcast((own, net.flat))
+    bucket, frequent, logs, rest = shares(counts, own)
+    shared = docs.sparkSession.sparkContext.broadcast((own, net.flat, bucket, frequent, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, flat = shared.value
-        net = Network(flat)
+        own, flat, bucket, frequent, logs = shared.value
+        net, key = Network(flat), TaskContext.get().partitionId() << 33
         for b in batches:
             for i, j, buf, offs in blocks(b.column(2)):
                 w = words(buf, offs, SPACED)
@@ -218,13 +269,23 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 lp = np.zeros(len(ids) + 1)
                 for lo in range(0, len(ids), 8192):
                     lp[lo + 1 : lo + 8193][: len(ids) - lo] = net.log_probability(around[lo : lo + 8192], ids[lo : lo + 8192])
+                out = np.flatnonzero(ids >= OWN)
+                at, known = _find(w.hash[out], frequent)
+                lp[out + 1] -= bucket[ids[out] - OWN]
+                lp[out[known] + 1] += logs[at[known]]
+                cuts, other, times = _pairs(w.doc()[out[~known]], w.hash[out[~known]], j - i)
                 total = np.cumsum(lp)
                 rare = np.r_[0, np.cumsum(ids >= OWN)]
                 n = np.diff(w.first)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total[w.first[1:]] - total[w.first[:-1]]), pa.array((rare[w.first[1:]] - rare[w.first[:-1]]).astype(np.int64))],
-                    names=[ID, TAG, "n_tokens", "log_likelihood", "rare_words"],
+                    [pa.array(key + np.arange(j - i)), pa.ListArray.from_arrays(cuts, other), pa.ListArray.from_arrays(cuts, times), b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total[w.first[1:]] - total[w.first[:-1]]), pa.array((rare[w.first[1:]] - rare[w.first[:-1]]).astype(np.int64))],
+                    names=["_key", "_word", "_times", ID, TAG, "n_tokens", "log_likelihood", "rare_words"],
                 )
+                key += j - i
 
-    out = base.mapInArrow(lean(run), f"{ID} {kind}, {TAG} long, n_tokens long, log_likelihood double, rare_words long")
+    scores = keep(base.mapInArrow(lean(run), f"_key long, _word array<long>, _times array<int>, {ID} {kind}, {TAG} long, n_tokens long, log_likelihood double, rare_words long"), "scores")
+    pairs = scores.select("_key", F.explode(F.arrays_zip("_word", "_times")).alias("p")).select("_key", F.col("p._word").alias("word"), F.col("p._times").alias("times"))
+    more = pairs.join(rest, "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("log")).alias("_more"))
+    out = scores.drop("_word", "_times").join(more, "_key", "left")
+    out = out.select(ID, TAG, "n_tokens", (F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))).alias("log_likelihood"), "rare_words")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
