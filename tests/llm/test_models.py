@@ -129,6 +129,18 @@ def test_toxicity(docs, labels, odd):
     assert rest.count() == odd.count() and rest.where("score < 0 or score > 1 or predicted = 1").count() == 0
 
 
+def test_rare_terms_are_learned_and_copies_count_once(spark):
+    rng = random.Random(11)
+    plain = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passage = plain(200)
+    rows = [(f"{plain(12)} scumbag {plain(3)}", 1) for _ in range(1000)] + [(f"{plain(12)} decent {plain(3)}", 0) for _ in range(1500)]
+    rows += [(f"{passage} zorgle {plain(9)}", 1) for _ in range(12)] + [(f"{passage} {plain(9)}", 0) for _ in range(12)]
+    rows += [(f"{plain(5)} once copied", 1)] * 30
+    terms, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert {"scumbag", "zorgle"} <= set(terms) and not {"decent", "once", "copied"} & set(terms)
+    assert len(terms) < 5
+
+
 def test_network_learns_and_is_normalised():
     rng = np.random.default_rng(2)
     ids = np.tile(np.array([3, 70, 200, 900, 1500]), 2000)

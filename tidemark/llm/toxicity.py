@@ -11,6 +11,7 @@ A logistic model over these counts, fitted to the training rows, gives the score
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from tidemark.llm.common import ID, keep, keyed, lean, modest_batches
 
 #: labelled rows that are learned from, at most: those with the smallest hashes of their ids
 SAMPLE = 20_000
-#: terms need so many toxic training texts (and this share of them), and to be so many times more usual there
-SUPPORT, SHARE, RATIO = 5, 0.02, 5.0
+#: terms need so many toxic training texts, and to be so many times more usual there
+SUPPORT, RATIO = 5, 5.0
 #: weights, which are logarithms of that ratio, go no higher
 WEIGHT = 6.0
 #: share of a stem's texts that one word may have
@@ -203,7 +204,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms and stems of toxic rows with their weights.  Texts that share their smallest shingle hash count once, as copies would."""
+    """Terms and stems of toxic rows with their weights.  Texts with the same set of shingles are copies and count once.
+
+    Terms must be more usual in toxic texts than chance makes any of the terms tested: their
+    likelihood ratio is over twice the logarithm of the number of terms.
+    """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(WORD)
@@ -214,7 +219,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
                 raw = np.frombuffer(low.encode(), np.uint8)
                 w = words(raw, np.array([0, len(raw)]), SPACED)
                 g = grams(w.hash, min(4, len(w))) if len(w) else w.hash
-                sign.append(int(g.min().view(np.int64)) if len(g) else 0)
+                sign.append(int.from_bytes(hashlib.blake2b(np.unique(g).tobytes(), digest_size=8).digest(), "little", signed=True))
                 label.append(y)
                 whole = {x for x in find.findall(low) if len(x) >= 3}
                 out.append([*whole, *{"^" + x[:k] for x in whole for k in STEMS if len(x) > k}])
@@ -224,10 +229,13 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     unique = keep(unique, "terms")
     n = {r["label"]: r["count"] for r in unique.groupBy("label").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
-    least = max(SUPPORT, int(SHARE * toxic))
     counted = unique.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     ratio = (F.col("pos") + 0.5) / (toxic + 1) / ((F.col("neg") + 0.5) / (other + 1))
-    best = counted.where(F.col("pos") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("pos"), "term").limit(TERMS).collect()
+    counted = keep(counted.where(F.col("pos") >= SUPPORT), "support")
+    usual = toxic / max(1, toxic + other)
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("pos") + F.col("neg")) * share))).otherwise(0.0)
+    sure = 2 * (part("pos", usual) + part("neg", 1 - usual)) >= 2 * float(np.log(max(1, counted.count())))
+    best = counted.withColumn("ratio", ratio).where((F.col("ratio") >= RATIO) & sure).orderBy(F.desc("pos"), "term").limit(TERMS).collect()
     found = {r["term"]: min(WEIGHT, float(np.log(r["ratio"]))) for r in best}
     times = {r["term"]: r["pos"] for r in best}
     terms = {t: w for t, w in found.items() if t[0] != "^"}
