@@ -67,6 +67,13 @@ def test_ewm_matches_pandas_with_gaps(spark):
     assert column(op.ewm_mean(days(spark, [1.0, 2.0, 3.0]), "x", 1, 1), "ewm")[-1] == pytest.approx(2.428571, abs=1e-6)
 
 
+def test_ewm_carries_over_long_gaps(spark):
+    values = [1.0, None, 5.0, *[None] * 60, 2.0, None]
+    want = pd.Series(values, dtype=float).ewm(halflife=1, min_periods=1).mean()
+    got = column(op.ewm_mean(days(spark, values), "x", 1, 1), "ewm")
+    assert got == pytest.approx(want.tolist(), abs=1e-9)
+
+
 def test_wet_spell_and_days_since(spark):
     d = days(spark, [2.0, 3.0, 0.0, None, 5.0, 25.0, 1.0, None, 1.0])
     assert column(op.spell_length(d, F.col("x") > 1), "wet_spell_len") == [1, 2, 0, None, 1, 2, 0, None, 0]

@@ -115,16 +115,19 @@ def days_since(df: DataFrame, col: str, at_least: float, by: Sequence[str] = (),
 def ewm_mean(df: DataFrame, col: str, halflife: float, least: int, by: Sequence[str] = (), name: str = "ewm", reach: int = 45) -> DataFrame:
     """Exponentially weighted mean with the given half-life in rows, gaps decaying too.
 
-    The frame holds reach * halflife rows: older weights are below 2**-reach.
+    The frame of a value holds reach * halflife rows: older weights are below 2**-reach of its own.
+    A missing value leaves the mean as it was, however long ago that is: all weights shrink alike.
     """
     span = int(reach * halflife)
     w = series(by)
     ordered = df.withColumn("_i", F.row_number().over(w))
     frame = F.collect_list(F.when(F.col(col).isNotNull(), F.struct("_i", F.col(col).alias("x")))).over(w.rowsBetween(-span, 0))
-    made = ordered.withColumn("_f", frame).withColumn("_n", F.count(col).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    made = ordered.withColumn("_f", frame).withColumn("_n", F.count(col).over(past))
     weigh = f"power(0.5D, (_i - p._i) / {float(halflife)}D)"
     mean = F.expr(f"try_divide(aggregate(_f, 0D, (a, p) -> a + {weigh} * p.x), aggregate(_f, 0D, (a, p) -> a + {weigh}))")
-    return made.withColumn(name, F.when(F.col("_n") >= least, mean)).drop("_i", "_f", "_n")
+    made = made.withColumn("_m", F.when(F.col(col).isNotNull(), mean))
+    return made.withColumn(name, F.when(F.col("_n") >= least, F.last("_m", ignorenulls=True).over(past))).drop("_i", "_f", "_n", "_m")
 
 
 def shifted_by_days(df: DataFrame, days: int, columns: Sequence[str], suffix: str, by: Sequence[str] = ()) -> DataFrame:
