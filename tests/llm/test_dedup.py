@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tidemark.llm import contamination, jaccard, substrings
+from tidemark.llm import contamination, jaccard, quality, substrings
+from tidemark.llm.blocks import SPACED, words
 from tidemark.llm.common import ID
 from tidemark.llm.components import components
 
@@ -105,6 +107,29 @@ def test_boundary_and_bounds():
                 assert 100 * k >= p * (a + b - k) and 100 * (k - 1) < p * (a + b - k + 1)
 
 
+def alternating(n):
+    """A word over a and b that many polynomial hashes confuse with its complement."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [8, 16, 64, 1024, 2048])
+def test_words_that_cancel_out_are_told_apart(spark, n):
+    x, y = alternating(n)
+    tail = " ".join(f"t{k}" for k in range(50))
+    d = spark.createDataFrame([(1, x), (2, y), (3, f"{x} {tail}"), (4, f"{y} {tail}"), (5, " ".join([x] + ["z"] * 34)), (6, " ".join([y] + ["z"] * 34))], SCHEMA)
+    assert {r[ID]: r["component_id"] for r in jaccard.jaccard_components(d).collect()}[2] == 2
+    gone = {r[ID]: r["n_removed"] for r in substrings.remove_repeats(d).collect()}
+    assert gone == {1: 0, 2: 0, 3: 50, 4: 50, 5: 0, 6: 0}
+    bench = spark.createDataFrame([("p", x), ("q", f"{x} {tail}")], "item_id string, text string")
+    hit = {r[ID]: r["n_hit"] for r in contamination.contamination(d, bench).collect()}
+    assert hit == {1: 1, 2: 0, 3: 51, 4: 50, 5: 1, 6: 0}
+    buf, offs = np.frombuffer(f"{x}\n{y}\n{x}".encode(), np.uint8), np.array([0, 3 * n + 2])
+    assert quality.rule_counts(buf, offs, words(buf, offs, SPACED))["n_dup_lines"].tolist() == [1]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)] + [(300, 300 + k) for k in range(1, 50)]

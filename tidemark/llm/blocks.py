@@ -18,7 +18,10 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Text bytes that are handled at once; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
-_HASH_SPAN = 1 << 17
+#: spans of more bytes are hashed one by one
+LONG = 256
+#: keep the first bytes of a lane
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -70,17 +73,26 @@ def powers(n: int, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a block: bytes [start, end) of buf, hash, and first[d]..first[d+1] for text d."""
+    """Words of a block: bytes [start, end) of buf, hash, and first[d]..first[d+1] for text d.
+
+    other() hashes the same bytes independently of hash.
+    """
 
     buf: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    _other: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def other(self) -> np.ndarray:
+        if self._other is None:
+            self._other = _hashes(self.buf, self.start, self.end, 1)
+        return self._other
+
     def room(self, n: int) -> np.ndarray:
         """For each word whether n words of its text start there."""
         ok = np.zeros(len(self.start) + 1, dtype=np.int32)
@@ -110,25 +122,28 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray = SPACED, lower:
     return Words(low, start, end, _hashes(low, start, end), np.searchsorted(start, offs))
 
 
-def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), dtype=U64)
-    up, down = powers(2 * _HASH_SPAN)
-    i = 0
-    with np.errstate(over="ignore"):
-        while i < len(start):
-            at = start[i]
-            if end[i] - at > _HASH_SPAN:  # a single giant word
-                out[i] = int.from_bytes(hashlib.blake2b(buf[at : end[i]].tobytes(), digest_size=8).digest(), "little")
-                i += 1
-                continue
-            j = int(np.searchsorted(start, at + _HASH_SPAN))
-            while end[j - 1] - start[j - 1] > _HASH_SPAN:
-                j -= 1
-            s, e = start[i:j] - at, end[i:j] - at
-            total = np.zeros(int(e[-1]) + 1, dtype=U64)
-            np.cumsum((buf[at : at + e[-1]].astype(U64) + U64(1)) * up[: e[-1]], out=total[1:])
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
-            i = j
+def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hash of each span: its bytes, eight at a time, go through the finaliser one after another.
+
+    Spans of up to eight bytes and equal length never collide.  Longer than LONG, a span has a
+    cryptographic digest, so that no letter pattern, however long, cancels out.
+    """
+    size = end - start
+    out = mix(size.astype(U64), 101 + family)
+    if not len(start):
+        return out
+    wide = np.zeros(len(buf) + 8, dtype=np.uint8)
+    wide[: len(buf)] = buf
+    lanes = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=wide, strides=(1,))  # the eight bytes from each place on
+    todo = np.flatnonzero(size <= LONG)
+    at, left = start[todo], size[todo]
+    while len(todo):
+        lane = lanes[at] & _LANE[np.minimum(left, 8)]
+        out[todo] = mix(out[todo] ^ lane, 211 + family)
+        on = left > 8
+        todo, at, left = todo[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([family])).digest(), "little")
     return out
 
 

@@ -43,7 +43,7 @@ def _short(w: Words, n: int, at: np.ndarray) -> np.ndarray:
 
 
 def _full(w: Words, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return mix(grams(w.hash, n, 21)[at], n), mix(grams(w.hash, n, 22)[at], n)
+    return mix(grams(w.hash, n, 21)[at], n), mix(grams(w.other(), n, 22)[at], n)
 
 
 def _prints(w: Words, window: int, kmer: int) -> tuple[np.ndarray, np.ndarray]:

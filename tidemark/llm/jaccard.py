@@ -75,15 +75,19 @@ def subset_tokens(s: np.ndarray, percent: int) -> list[int]:
     return out
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of the n-word shingles of each text; all words if there are fewer."""
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int, other: bool = False) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of the n-word shingles of each text; all words if there are fewer.
+
+    other: by another hash of the words.
+    """
     w = words(buf, offs, SPACED, lower=True)
-    g = grams(w.hash, n, 9)
+    h = w.other() if other else w.hash
+    g = grams(h, n, 9)
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= n:
             yield np.unique(g[a : b - n + 1])
         elif b > a:
-            yield mix(grams(w.hash[a:b], b - a, 9), b - a)
+            yield mix(grams(h[a:b], b - a, 9), b - a)
         else:
             yield np.zeros(0, dtype=U64)
 
@@ -254,7 +258,7 @@ def verified(pairs: DataFrame, small: DataFrame, texts: DataFrame, shingle: int,
 
         def of(u: int, z: bytes, size: int) -> np.ndarray:
             if u not in known:
-                known[u] = next(shingle_sets(np.frombuffer(unpack(z, size), np.uint8), np.array([0, size]), shingle))
+                known[u] = next(shingle_sets(np.frombuffer(unpack(z, size), np.uint8), np.array([0, size]), shingle, other=True))
                 if len(known) > 64:
                     known.popitem(last=False)
             return known[u]

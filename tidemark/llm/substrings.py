@@ -33,11 +33,11 @@ KMER = 8
 
 
 def _spans(w: Words, lo: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
-    """Hash of n words from lo on."""
+    """Hash of n words from lo on, by another hash of the words than the minimisers have."""
     up, down = powers(len(w) + 1, 0xD1342543DE82EF95 + 2 * salt)
     total = np.zeros(len(w) + 1, dtype=U64)
     with np.errstate(over="ignore"):
-        np.cumsum(mix(w.hash, 11 + salt) * up[: len(w)], out=total[1:])
+        np.cumsum(mix(w.other(), 11 + salt) * up[: len(w)], out=total[1:])
         return mix((total[lo + n] - total[lo]) * down[lo] + n.astype(U64), salt)
 
 
