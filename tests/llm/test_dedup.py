@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, jaccard, quality, substrings
 from tidemark.llm.blocks import SPACED, words
@@ -98,6 +99,18 @@ def test_jaccard(docs, shingle, percent):
     assert Counter(tuple(r) for r in got.select(ID, "n_shingles", "component_id").collect()) == want
 
 
+def test_many_unlinked_texts_with_one_passage_are_not_paired(spark, monkeypatch):
+    """Each shares 88 of its 97 shingles with all others, which is just too few for a link."""
+    passage = " ".join(f"p{k}" for k in range(91))
+    rows = [(k, f"{passage} " + " ".join(f"u{k}_{j}" for j in range(9))) for k in range(20_000)]
+    pairs, lists, plain, shaped = [], [], jaccard.verified, jaccard.crossed
+    monkeypatch.setattr(jaccard, "verified", lambda p, *more: pairs.append(p.count()) or plain(p, *more))
+    monkeypatch.setattr(jaccard, "crossed", lambda rest, percent: lists.append(rest.groupBy("token").count().agg(F.max("count")).first()[0]) or shaped(rest, percent))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA))
+    assert got.where("component_id <> _id").count() == 0
+    assert max(lists) == 20_000 and sum(pairs) < 20_000
+
+
 def test_boundary_and_bounds():
     assert jaccard.boundary(85) == 13
     for p in (60, 80, 85):

@@ -11,7 +11,8 @@ Equal sets collapse first.  A set then gets tokens such that every linked pair s
 The boundary is the largest size at which subsets cost no more than scanning lists.
 Lists are never paired with themselves.  Each member is compared with the list's leader;
 verified links give components; then only members outside the leader's component are
-compared with members of other components.  So a group of n near copies costs about n
+compared with members of other components, shape by shape: sizes and places in the list
+that rule a link out are never paired.  So a group of n near copies costs about n
 comparisons per list, and every pair in different components has been compared.
 A list member carries its place in its set's order: elements before a pair's first common
 one are not shared, so what follows it bounds the overlap.  This, sizes and parity bitmaps
@@ -216,10 +217,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed_lists = rest = keep(placed.join(mixed, "token", "left_semi"), "mixed")
     main = rest.where("u = lead").select("token", F.col("comp").alias("main")).distinct()
     rest = rest.join(main, "token")
-    minor = rest.where("comp <> main").select("token", F.col("u").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
-    other = rest.where("u <> lead").select("token", F.col("u").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), "main")
-    fits = _reach("na", "la", "nb", "lb", percent)
-    cross = minor.join(other, "token").where(f"ca <> cb and (cb = main or b < a) and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = crossed(rest, percent)
     more = keep(verified(cross, small, texts, shingle, percent), "more")
     if not more.isEmpty():
         roots = keep(components(links.unionByName(more)), "roots")
@@ -233,6 +231,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select(ID, TAG, F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(ID)).alias("component_id"))
 
 
+def crossed(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (token, u, n, left, lead, comp, main) of a list that may be links between components.
+
+    Members are paired by shape: size and what is left of the set from the token on.  A list has
+    few shapes however many members; only pairs of shapes that allow a link are joined with the
+    members, so members that bounds keep apart are never enumerated against each other.
+    """
+    minor = rest.where("comp <> main").select("token", F.col("u").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
+    other = rest.where("u <> lead").select("token", F.col("u").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), "main")
+    fits = _reach("na", "la", "nb", "lb", percent)
+    shapes = keep(minor.select("token", "na", "la").distinct().join(other.select("token", "nb", "lb").distinct(), "token").where(fits), "shapes")
+    return minor.join(shapes, ["token", "na", "la"]).join(other, ["token", "nb", "lb"]).where("ca <> cb and (cb = main or b < a)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _reach(na: str, la: str, nb: str, lb: str, percent: int) -> str:
     """Whether sizes and what is left of each set from the common token on allow a link."""
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({la}, {lb}) >= {percent} * ({na} + {nb})"
