@@ -1,11 +1,12 @@
 """Benchmark decontamination by winnowing.
 
-A window is WINDOW words of a benchmark item, or a whole shorter item.  Of each window of
-a text the smallest KMER-gram hash is its fingerprint; equal windows have equal
-fingerprints, so every shared window is found.  Benchmark fingerprints set bits in a
-Bloom filter of fixed size, which goes to all tasks whatever the size of the benchmark;
-it only thins out what is joined.  Windows whose fingerprint passes are joined with the
-benchmark's windows by 128-bit hashes: that extends each hit to the whole window.
+A window is WINDOW words of a benchmark item, or a whole shorter item.  Of each window the
+smallest KMER-gram hash is its fingerprint; equal windows have equal fingerprints, so every
+shared window is found.  Neighbouring windows share most fingerprints, so a text has one
+for each run of windows that hang on the same KMER-gram.  The fingerprints of texts are
+joined with those of the benchmark; a Bloom filter of the latter thins them out before.
+Each match is extended to the windows of its run: they are joined with the benchmark's
+windows by two independent 64-bit hashes of their words.
 Items too short for a fingerprint are looked up by the hash of all their words.
 """
 
@@ -20,21 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import ALNUM, U64, Words, blocks, grams, mix, sliding_min, words
+from tidemark.llm.bloom import bits_for, bloom_of, passes
 from tidemark.llm.common import ID, TAG, keep, keyed, lean, same_row
 
 WINDOW = 10
 KMER = 5
-#: log2 of the Bloom filter's bits: 8 MB
-BLOOM_BITS = 26
-
-
-def _bloom_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> U64(64 - BLOOM_BITS)).astype(np.int64), (mix(h, 5) >> U64(64 - BLOOM_BITS)).astype(np.int64)
-
-
-def _passes(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _bloom_places(h)
-    return ((bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _short(w: Words, n: int, at: np.ndarray) -> np.ndarray:
@@ -46,17 +37,26 @@ def _full(w: Words, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(grams(w.hash, n, 21)[at], n), mix(grams(w.other(), n, 22)[at], n)
 
 
-def _prints(w: Words, window: int, kmer: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of full windows and their fingerprints."""
+def _prints(w: Words, window: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of full windows, their fingerprints and the places of these."""
     at = np.flatnonzero(w.room(window))
     if not len(at):
-        return at, np.zeros(0, dtype=U64)
+        return at, np.zeros(0, dtype=U64), at
     g = grams(w.hash, kmer)
-    return at, g[sliding_min(g, window - kmer + 1)[at]]
+    least = sliding_min(g, window - kmer + 1)[at]
+    return at, g[least], least
+
+
+SUSPECT = "array<struct<print:bigint,n:int,place:int,windows:array<struct<a:bigint,b:bigint>>>>"
 
 
 def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """(per text: _id, _tag, n_words, hits), (hits: _id, _tag, item, place, n)."""
+    """(per text: _id, _tag, n_words), (hits: _id, _tag, item, place, n).
+
+    Null and empty texts have no words and no hits, items without words no window; a null item
+    id counts as an item; repeated rows give repeated rows of the first table and repeated hits;
+    empty tables give empty ones; further columns are left out.
+    """
     spark = docs.sparkSession
     bench = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     item_kind = bench.schema["item"].dataType.simpleString()
@@ -65,7 +65,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
         for b in batches:
             for i, j, buf, offs in blocks(b.column(1)):
                 w = words(buf, offs, ALNUM, lower=True)
-                at, prints = _prints(w, window, kmer)
+                at, prints, _ = _prints(w, window, kmer)
                 parts = [(at, prints, np.full(len(at), window))]
                 size = np.diff(w.first)
                 for n in range(1, window):
@@ -80,24 +80,9 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d + i)), pa.array(n.astype(np.int32)), pa.array(prints.view(np.int64)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["item", "n", "print", "a", "b"])
 
     wanted = keep(bench.mapInArrow(lean(item_windows), f"item {item_kind}, n int, print long, a long, b long"), "items")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, lengths = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8), set()
-        for b in batches:
-            h = b.column(0).to_numpy().view(U64)
-            for p in _bloom_places(h):
-                np.bitwise_or.at(bloom, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
-            lengths.update(b.column(1).to_numpy().tolist())
-        at = np.flatnonzero(bloom)
-        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<u4").tobytes()]), pa.array([bloom[at].tobytes()]), pa.array([sorted(lengths)], pa.list_(pa.int32()))], names=["at", "bits", "lengths"])
-
-    # one filter for each task; their number is fixed, and so is the size of each
-    bloom, lengths = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8), set()
-    for row in wanted.select("print", "n").coalesce(16).mapInArrow(lean(bits), "at binary, bits binary, lengths array<int>").toLocalIterator():
-        at = np.frombuffer(row["at"], "<u4")
-        bloom[at] |= np.frombuffer(row["bits"], np.uint8)
-        lengths.update(row["lengths"])
-    shared = spark.sparkContext.broadcast((bloom, sorted(lengths - {window})))
+    prints = keep(wanted.select("print", "n").distinct(), "prints")
+    lengths = sorted(r["n"] for r in prints.select("n").distinct().collect() if r["n"] < window)  # fewer than a window has words
+    shared = spark.sparkContext.broadcast((bloom_of(prints.select("print"), bits_for(prints.count())), lengths))
 
     base = keyed(docs, id_col, text_col)
     kind = base.schema[ID].dataType.simpleString()
@@ -107,26 +92,32 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             for i, j, buf, offs in blocks(batch.column(2)):
                 w = words(buf, offs, ALNUM, lower=True)
-                found = []
-                at, prints = _prints(w, window, kmer)
-                ok = _passes(bloom, prints)
-                found.append((at[ok], window))
+                at, found, least = _prints(w, window, kmer)
+                ok = passes(bloom, found)
+                parts = [(at[ok], found[ok], least[ok], window)]
                 for n in shorter:
                     at = np.flatnonzero(w.room(n))
-                    ok = _passes(bloom, _short(w, n, at)) if len(at) else np.zeros(0, bool)
-                    found.append((at[ok], n))
-                parts = [(at, *_full(w, n, at), np.full(len(at), n)) for at, n in found if len(at)]
-                at, a, c, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), *(np.zeros(0, U64),) * 2, np.zeros(0, np.int64))
+                    found = _short(w, n, at) if len(at) else np.zeros(0, U64)
+                    ok = passes(bloom, found)
+                    parts.append((at[ok], found[ok], at[ok], n))
+                columns = [(at, found, least, np.full(len(at), n), *_full(w, n, at)) for at, found, least, n in parts if len(at)]
+                at, found, least, n, a, c = (np.concatenate(x) for x in zip(*columns, strict=True)) if columns else (np.zeros(0, np.int64), np.zeros(0, U64), *(np.zeros(0, np.int64),) * 2, *(np.zeros(0, U64),) * 2)
                 d = np.searchsorted(w.first, at, side="right") - 1
                 order = np.argsort(d, kind="stable")
-                at, a, c, n, d = at[order], a[order], c[order], n[order], d[order]
-                cuts = pa.array(np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array((at - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "b", "place", "n"]))
+                at, found, least, n, a, c, d = (x[order] for x in (at, found, least, n, a, c, d))
+                # a run: neighbouring windows of one length on one KMER-gram
+                new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (n[1:] != n[:-1]) | (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+                windows = pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "b"]))
+                cuts = pa.array(np.searchsorted(d[new], np.arange(j - i + 1)).astype(np.int32))
+                place = (at - w.first[d])[new] if len(at) else at
+                lists = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(found[new].view(np.int64)), pa.array(n[new].astype(np.int32)), pa.array(place.astype(np.int32)), windows], names=["print", "n", "place", "windows"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(w.first).astype(np.int64)), lists], names=[ID, TAG, "n_words", "suspects"])
 
-    rows = keep(base.mapInArrow(lean(suspects), f"{ID} {kind}, {TAG} long, n_words long, suspects array<struct<a:bigint,b:bigint,place:int,n:int>>"), "suspects")
-    asked = rows.where(F.size("suspects") > 0).select(ID, TAG, F.explode("suspects").alias("s")).select(ID, TAG, "s.*")
-    hits = asked.join(wanted.select("item", "n", "a", "b").distinct(), ["a", "b", "n"]).select(ID, TAG, "item", "place", "n")
+    rows = keep(base.mapInArrow(lean(suspects), f"{ID} {kind}, {TAG} long, n_words long, suspects {SUSPECT}"), "suspects")
+    marks = rows.where(F.size("suspects") > 0).select(ID, TAG, F.explode("suspects").alias("s")).select(ID, TAG, "s.*")
+    matched = marks.join(prints, ["print", "n"], "left_semi")
+    extended = matched.select(ID, TAG, "n", "place", F.posexplode("windows").alias("step", "w")).select(ID, TAG, "n", (F.col("place") + F.col("step")).alias("place"), "w.a", "w.b")
+    hits = extended.join(wanted.select("item", "n", "a", "b").distinct(), ["a", "b", "n"]).select(ID, TAG, "item", "place", "n")
     return rows.select(ID, TAG, "n_words"), hits
 
 
@@ -163,7 +154,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that share no window with the items."""
+    """The rows of docs, all columns, that share no window with the items.
+
+    Null and empty texts share none and stay; rows that are equal in id and text go or stay together, a
+    null id included; without items all rows stay; an empty table gives an empty one; columns of
+    any other name are carried along.
+    """
     _, hits = find_hits(docs, items, id_col, text_col)
     bad = hits.select(F.col(ID).alias("_bad_id"), F.col(TAG).alias("_bad_tag")).distinct()
     tag = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
