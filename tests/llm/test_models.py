@@ -60,6 +60,69 @@ def test_rules_and_filter_keep_the_good_and_drop_the_bad(docs, labels):
         assert share[1] > 0.98 and share[0] < 0.2
 
 
+def test_rules_score_a_text_alike_in_any_order_and_company(docs, labels, odd):
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    some = quality.quality_rules(both.repartition(5).orderBy("doc_id"), labels).select(ID, "_tag", "probability", "kept")
+    other = quality.quality_rules(both.repartition(2).orderBy(F.desc("doc_id")), labels).select(ID, "_tag", "probability", "kept")
+    seen = {}
+    for r in some.collect():
+        assert seen.setdefault((r[ID], r["_tag"]), (r["probability"], r["kept"])) == (r["probability"], r["kept"])
+    assert all(seen[r[ID], r["_tag"]] == (r["probability"], r["kept"]) for r in other.collect())
+
+
+def test_rules_on_rows_that_were_not_learned_from(docs, labels):
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 0
+    got = quality.quality_rules(docs, labels.where(~fold)).where("not base_failed").withColumnRenamed(ID, "doc_id").join(labels.where(fold), "doc_id").toPandas()
+    assert ((got["probability"] >= 0.5) == (got["quality"] == 1)).mean() > 0.93
+
+
+def brute_kneser_ney(texts):
+    """Probability of a symbol after three, by dictionaries."""
+    lower, seen = {}, Counter()
+    for t in texts:
+        s = quality.SYMBOL[np.frombuffer(t.encode(), np.uint8)].tolist()
+        seen.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+    lower[4] = seen
+    for k in (3, 2, 1):
+        lower[k] = Counter(g[1:] for g in lower[k + 1])
+    off, total, gone = {}, {}, {}
+    for k, c in lower.items():
+        n = [1 + sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        off[k] = [min(0.95 * i, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+        total[k], gone[k] = Counter(), Counter()
+        for g, v in c.items():
+            total[k][g[:-1]] += v
+            gone[k][g[:-1]] += off[k][min(v, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 64
+        k, c = len(g), lower[len(g)][g]
+        if g[:-1] not in total[k]:
+            return p(g[1:])
+        return max(0, c - (off[k][min(c, 3) - 1] if c else 0)) / total[k][g[:-1]] + gone[k][g[:-1]] / total[k][g[:-1]] * p(g[1:])
+
+    return p
+
+
+def test_perplexity_by_brute_force(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("etaoinsé", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 30)))
+    rows = [(k, text(), "en") for k in range(30)] + [(30, "abc", "en"), (31, "", "en"), (32, None, None)]
+    got = quality.quality_classifier(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")).toPandas().set_index(ID)
+    p = brute_kneser_ney([t for _, t, _ in rows[:20]])
+    sure, h = [], {}
+    for k, t, _ in rows:
+        s = quality.SYMBOL[np.frombuffer((t or "").encode(), np.uint8)].tolist()
+        h[k] = (-sum(np.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)), max(0, len(s) - 3))
+        if k < 20 and h[k][1]:
+            sure.append(h[k][0] / h[k][1])
+    mid = float(np.quantile(sure, 0.5))
+    for k, (total, n) in h.items():
+        assert np.log(got.loc[k, "perplexity"]) == pytest.approx((total + quality.PRIOR * mid) / (n + quality.PRIOR), abs=2e-3)
+
+
 def test_filter_sees_every_odd_text(odd, labels, docs):
     both = docs.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
     got = quality.quality_classifier(both, labels).where(f"{ID} is null or {ID} = 1")

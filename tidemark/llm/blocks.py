@@ -90,7 +90,7 @@ class Words:
 
     def other(self) -> np.ndarray:
         if self._other is None:
-            self._other = _hashes(self.buf, self.start, self.end, 1)
+            self._other = span_hashes(self.buf, self.start, self.end, 1)
         return self._other
 
     def room(self, n: int) -> np.ndarray:
@@ -119,10 +119,10 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray = SPACED, lower:
         after[cut - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    return Words(low, start, end, _hashes(low, start, end), np.searchsorted(start, offs))
+    return Words(low, start, end, span_hashes(low, start, end), np.searchsorted(start, offs))
 
 
-def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
     """64-bit hash of each span: its bytes, eight at a time, go through the finaliser one after another.
 
     Spans of up to eight bytes and equal length never collide.  Longer than LONG, a span has a
@@ -167,6 +167,15 @@ def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
         return mix(acc, salt + 7)
 
 
+def sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sum of values[cuts[d]:cuts[d+1]] for each d, each by itself: neighbours do not change a rounding."""
+    out = np.zeros(len(cuts) - 1)
+    has = np.diff(cuts) > 0
+    if has.any():
+        out[has] = np.add.reduceat(values[: cuts[-1]].astype(float), cuts[:-1][has])
+    return out
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(row, row after the last, bytes, offsets) of runs of texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
