@@ -122,3 +122,48 @@ def test_byte_encoder_on_random_texts():
     for _ in range(400):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
         assert core.encode(text, special) == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def code_points():
+    return [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_has_the_ids_of_the_library(name):
+    lib = library(name)
+    if name.startswith("byte"):
+        core, special = tokens.byte_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        encode = lambda t: core.encode(t, special)
+    else:
+        made = tokens.WordEncoder(public_tokenizers.path(name))
+        encode = lambda t: np.frombuffer(made(t), "<u4").tolist()
+    settled = [c for c in code_points() if not tokens._UNSETTLED(c)]
+    rest = [c for c in code_points() if tokens._UNSETTLED(c)]
+    assert len(settled) > 20_000
+    for some, step in ((settled, 8), (rest, 64)):
+        texts = ["".join(f"a{c}b {c}{c}1{c} " for c in some[i : i + step]) for i in range(0, len(some), step)]
+        for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert encode(text) == want.ids, repr(text)
+
+
+def test_random_mixes_have_the_ids_of_the_library():
+    import random
+
+    rng = random.Random(8)
+    settled = [c for c in code_points() if not tokens._UNSETTLED(c)]
+    marks = [chr(c) for c in (*range(0x300, 0x36F), 0x1AB0, 0x0345, 0x1F600, 0x0E33, 0x0903, 0x2126, 0x212B, 0x1E9E, 0xFB01)]
+    made, lib = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    blib = library("byte_bpe_50k.json")
+    core, special = tokens.byte_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    latin = settled[:580]
+    for k in range(3000):
+        text = "".join(rng.choice((latin, settled, "abc  1'.\n", marks if k % 3 == 0 else latin)[rng.randrange(4)]) for _ in range(rng.randint(1, 40)))
+        assert np.frombuffer(made(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+        assert core.encode(text, special) == blib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_vocabularies_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError):
+        tokens.repair(np.array([70_000, 2], np.uint32), 49_408, 2)
+    with pytest.raises(ValueError):
+        tokens.repair(np.array([5, 2], np.uint32), 70_000, 2)

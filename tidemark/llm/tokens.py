@@ -6,7 +6,8 @@ Two encoders are used, both held to the tokenizers library by tests:
   possessive spelling of the same pattern, which runs without backtracking;
 * word BPE (word_bpe_49k): each word, marked by a byte that UTF-8 never has, is merged
   by tiktoken; the marked byte pairs have the lowest ranks, so they merge first, as the
-  library's end-of-word suffix does.
+  library's end-of-word suffix does.  Texts with characters outside SETTLED go to the
+  tokenizers library itself, whose Unicode tables decide on them.
 
 Files are opened by path on each worker; only the path travels.
 """
@@ -35,6 +36,8 @@ from tidemark.llm.common import ID, TAG, cache, keyed, lean
 BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = " \t\n\r\x0b\x0c\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: characters of which case, normal form and class are the same in all versions of Unicode that are in use
+SETTLED = "\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5"
 #: entries that an encoder's cache may hold
 CACHE = 400_000
 
@@ -78,9 +81,11 @@ class WordEncoder:
         import regex
         import tiktoken
 
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         self.special = {x["content"]: array("I", [x["id"]]).tobytes() for x in whole["added_tokens"]}
+        self.size = 1 + max([*whole["model"]["vocab"].values(), *(x["id"] for x in whole["added_tokens"])])
         back, ranks = _byte_letters(), {}
         for token, i in whole["model"]["vocab"].items():
             if token not in self.special:
@@ -114,12 +119,19 @@ class WordEncoder:
         return b"".join([known(w) or word(w) for w in found])
 
     def __call__(self, text: str) -> bytes:
+        if not text.isascii() and _UNSETTLED(text):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if "<|" not in text:
             return self.plain(text)
         return b"".join(self.special.get(x) or self.plain(x) for x in self.cut(text))
 
 
 _CONTROL = re.compile("[\x1c-\x1f]").search
+_UNSETTLED = re.compile(f"[^{SETTLED}]").search
 
 
 @functools.lru_cache(maxsize=1)
@@ -230,7 +242,10 @@ def packed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write pieces as Parquet, one folder for each sequence length."""
+    """Write the rows of packed_pieces as Parquet, one folder for each sequence length.
+
+    Nulls, repeated rows and further columns are written as they are; an empty table gives a folder without files of rows.
+    """
     pieces.write.partitionBy("length").parquet(path)
 
 
@@ -247,8 +262,11 @@ def repair(ids: np.ndarray, first_rule: int, end_id: int, rounds: int = 4) -> tu
 
     Each round replaces the most frequent pairs of neighbours at once, from left to right
     without overlap, by new nonterminals; symbols fit 16 bits.  No pair starts with end_id,
-    so each document is a run of whole symbols.
+    so each document is a run of whole symbols.  Ids must be below first_rule, and that no
+    more than 65536: other vocabularies raise ValueError.
     """
+    if first_rule > 1 << 16 or len(ids) and int(ids.max()) >= first_rule:
+        raise ValueError(f"ids must be below {first_rule}, the first rule, and symbols fit 16 bits")
     seq = ids.astype(np.uint16)
     left, right = [], []
     for _ in range(rounds):
@@ -346,7 +364,7 @@ def write_grammar(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
-        end, first_rule = array("I", [end_id]).tobytes(), 49_408
+        end, first_rule = array("I", [end_id]).tobytes(), max(encode.size, end_id + 1)
         keys: list = []
         texts: list[bytes] = []
         held = shard = before = part = 0
@@ -382,7 +400,8 @@ def read_grammar(files: DataFrame) -> DataFrame:
     """(_id, start, n_tokens, ids) of the shards that write_grammar wrote, decoded document by document.
 
     start counts the ids of all documents before it: those of earlier parts, of which there
-    is one total each, of earlier shards of the part, and of the shard before it.
+    is one total each, of earlier shards of the part, and of the shard before it.  Null ids and
+    repeated rows come back as written; no shard gives an empty table.
     """
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -407,7 +426,10 @@ def read_grammar(files: DataFrame) -> DataFrame:
 
 
 def grammar_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Write the grammar files to the shared folder and read them back."""
+    """Write the grammar files to the shared folder and read them back: (_id, start, n_tokens, ids, ids_crc32).
+
+    Nulls, ties, empty texts and tables, and further columns are as in write_grammar.
+    """
     import uuid
 
     from tidemark.llm import common
