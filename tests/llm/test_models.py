@@ -282,3 +282,39 @@ def test_pipeline(spark, docs):
 
 def test_registry():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+
+
+def test_stages_take_odd_rows_and_may_be_chained_before_they_are_written(spark, docs, odd):
+    n = docs.count()
+    more = [(None, None, "en", "s", 0, 7), (None, "", "en", None, 0, 7), (9_001, "\n", None, "s", 1, 7), (9_002, "x y", "zz", "s", 3, 7), (9_002, "x y", "zz", "s", 3, 7)]
+    both = docs.withColumn("root", F.lit(7)).unionByName(spark.createDataFrame(more, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", root int"))
+    at = both
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, DATA)  # lazily
+        assert at.columns == both.columns
+    rows = [r["doc_id"] for r in at.where("doc_id is null or doc_id > 9000").collect()]
+    assert rows.count(9_002) == 1 and rows.count(9_001) == 1 and rows.count(None) == 2
+    assert 0.5 * n < at.count() < n
+    assert corpus_pipeline.STAGES[-1][1](spark, at, DATA).where("doc_id = 9002").count() > 0
+
+
+def test_stages_take_an_empty_table(spark, docs):
+    at = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.keep(stage(spark, at, DATA), "test")
+        assert at.count() == 0 and at.columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, at, DATA).count() == 0
+
+
+def test_repeated_and_reordered_rows_get_one_toxicity(docs, labels, odd):
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    seen = [sorted((r[ID] is not None, r[ID] or 0, r["score"]) for r in toxicity.toxicity(some, labels).collect()) for some in (both.orderBy("doc_id"), both.repartition(3))]
+    assert seen[0] == seen[1]
+
+
+def test_quotations_nest():
+    s = toxicity.Scorer({"idiot": 5.0}, {})
+    for text in ('a "b idiot c" idiot', '“one «idiot» two” idiot', 'idiot “idiot” "x" idiot'):
+        spans = toxicity.quoted_spans(text)
+        want = sum(any(a < m.start() and m.end() < b for a, b in spans) for m in re.finditer("idiot", text))
+        assert s.features(text)[4] == pytest.approx(np.log1p(want))

@@ -26,13 +26,15 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (a local session, as in tests) a folder in the warehouse is set.
+    Only where that is unset in a local session, as in tests, a folder in the warehouse is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
             folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -76,11 +78,17 @@ class Tables:
     once what was made from them is written."""
 
     def __enter__(self) -> Tables:
-        self.before = len(_made)
+        self.before = {path for _, path in _made}
+        self.entries: list[tuple[SparkSession, str]] = []
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.entries = _made[self.before :]
+        self.entries = [e for e in _made if e[1] not in self.before]
+
+    def read_by(self, df: DataFrame) -> bool:
+        """Whether df is still to be computed from one of the tables."""
+        files = df.inputFiles()
+        return any(path.removeprefix("file:") in f for f in files for _, path in self.entries)
 
     def drop(self) -> None:
         for entry in self.entries:

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ STEMS = range(4, 9)
 #: terms from this length on may be misspelt by one edit
 FUZZY = 5
 CONTEXT = 5
-#: terms in the lexicon and states of the automaton, at most; beyond, states are built anew
-TERMS, STATES = 4096, 50_000
+#: states of the automaton, at most; beyond, they are built anew
+STATES = 50_000
 WORD = r"[^\W_]+"
 # Quotation marks that open or close, by pairs, and those that do both.
 PAIRS = {"“": "”", "«": "»", "„": "“", "‹": "›"}
@@ -173,16 +174,18 @@ class Scorer:
         hits = {w: k for w in set(found) if (k := self.kind(w))[0]}
         if not hits:
             return [0.0] * 6
-        quotes = quoted_spans(low)
+        quotes = sorted(quoted_spans(low))
+        opens, reach = [a for a, _ in quotes], list(accumulate((b for _, b in quotes), max))
         abuse, quoted = [], 0
         for i, m in enumerate(self.find.finditer(low)):
             if m[0] in hits:
-                if any(a < m.start() and m.end() < b for a, b in quotes):
+                before = bisect_left(opens, m.start())
+                if before and m.end() < reach[before - 1]:
                     quoted += 1
                 else:
                     abuse.append((i, m[0]))
         weight = [0.0] * 4
-        for w in {w for _, w in abuse}:
+        for w in sorted({w for _, w in abuse}):
             kind, much = hits[w]
             weight[kind if much >= SURE else 0] += much
         sure = [i for i, w in abuse if hits[w][1] >= SURE]
@@ -235,12 +238,16 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     usual = toxic / max(1, toxic + other)
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("pos") + F.col("neg")) * share))).otherwise(0.0)
     sure = 2 * (part("pos", usual) + part("neg", 1 - usual)) >= 2 * float(np.log(max(1, counted.count())))
-    best = counted.withColumn("ratio", ratio).where((F.col("ratio") >= RATIO) & sure).orderBy(F.desc("pos"), "term").limit(TERMS).collect()
+    best = counted.withColumn("ratio", ratio).where((F.col("ratio") >= RATIO) & sure).collect()  # terms in SUPPORT texts or more of a bounded sample
     found = {r["term"]: min(WEIGHT, float(np.log(r["ratio"]))) for r in best}
     times = {r["term"]: r["pos"] for r in best}
     terms = {t: w for t, w in found.items() if t[0] != "^"}
+    most: dict[str, int] = {}  # of the words with a stem, the most usual one's texts
+    for x in terms:
+        for k in STEMS:
+            most[x[:k]] = max(times[x], most.get(x[:k], 0))
     # a stem that one word accounts for is that word, and would catch innocent words
-    stems = {t[1:]: w for t, w in found.items() if t[0] == "^" and max((times[x] for x in terms if x.startswith(t[1:])), default=0) < ONE_WORD * times[t]}
+    stems = {t[1:]: w for t, w in found.items() if t[0] == "^" and most.get(t[1:], 0) < ONE_WORD * times[t]}
     return terms, stems
 
 
@@ -272,13 +279,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     rows = training_rows(docs, labels, id_col, text_col, label_col, sample)
     terms, stems = learn_lexicon(rows)
+    lexicon = docs.sparkSession.sparkContext.broadcast((terms, stems))  # terms of at most `sample` rows
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, stems)
+        scorer = Scorer(*lexicon.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
-    seen = rows.mapInArrow(lean(train), "x array<double>, label int").groupBy("x", "label").count().collect()  # of at most `sample` rows
+    seen = sorted(rows.mapInArrow(lean(train), "x array<double>, label int").groupBy("x", "label").count().collect())  # of at most `sample` rows
     x, y = np.array([r["x"] for r in seen], dtype=float).reshape(-1, 6), np.array([r["label"] for r in seen], dtype=float)
     times = np.array([r["count"] for r in seen], dtype=int)
     weights, bias = fit_logistic(np.repeat(x, times, axis=0), np.repeat(y, times))
@@ -291,7 +299,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kind = base.schema[ID].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, stems)
+        scorer = Scorer(*lexicon.value)
         for b in batches:
             f = np.array([scorer.features(t.as_py()) for t in b.column(2)], dtype=float).reshape(-1, 6)
             score = 1 / (1 + np.exp(-np.clip(f @ weights + bias, -30, 30)))
