@@ -318,3 +318,34 @@ def test_quotations_nest():
         spans = toxicity.quoted_spans(text)
         want = sum(any(a < m.start() and m.end() < b for a, b in spans) for m in re.finditer("idiot", text))
         assert s.features(text)[4] == pytest.approx(np.log1p(want))
+
+
+def test_network_by_brute_force():
+    rng = np.random.default_rng(4)
+    net, flat = lm.Network(), lm.Network.size()
+    net.flat[:] = rng.standard_normal(flat) * 0.3
+    before = lm.Network(net.flat.copy())
+    around, token = rng.integers(0, lm.VOCABULARY, (300, 2 * lm.WINDOW)), np.where(rng.random(300) < 0.6, rng.integers(0, 64, 300), rng.integers(0, lm.VOCABULARY, 300))
+
+    def p(row, t):
+        h = np.tanh(sum(before.embed[k, c].astype(float) for k, c in enumerate(row)) + before.bias)
+        a, b = before.classes @ h + before.class_bias, before.tokens[t // 64] @ h + before.token_bias[t // 64]
+        return h, np.exp(a) / np.exp(a).sum(), np.exp(b) / np.exp(b).sum()
+
+    want, tokens, bias, embed = [], np.zeros(before.tokens.shape), np.zeros(lm.DIM), np.zeros(before.embed.shape)
+    count = np.bincount(token // 64, minlength=lm.CLASSES)
+    for row, t in zip(around, token, strict=True):
+        h, a, b = p(row, t)
+        want.append(np.log(a[t // 64] * b[t % 64]))
+        a[t // 64] -= 1
+        b[t % 64] -= 1
+        back = (a @ before.classes + b @ before.tokens[t // 64]) * (1 - h * h)
+        tokens[t // 64] += np.outer(b, h) / max(32, count[t // 64])
+        bias += back / len(token)
+        for k, c in enumerate(row):
+            embed[k, c] += back / 32
+    assert net.log_probability(around, token) == pytest.approx(want, abs=1e-4)
+    net.train(around, token, 0.5)
+    assert np.abs(before.tokens - 0.5 * tokens - net.tokens).max() < 1e-4
+    assert np.abs(before.embed - 0.5 * embed - net.embed).max() < 1e-4
+    assert np.abs(before.bias - 0.5 * bias - net.bias).max() < 1e-4

@@ -31,9 +31,13 @@ VOCABULARY = CLASSES * PER_CLASS
 #: words that have a token of their own; other words share the remaining tokens, but for the last, the text's border
 OWN = VOCABULARY // 2
 BORDER = VOCABULARY - 1
+#: words that are counted at once before they are sent
+COUNTED = 1 << 20
 #: words whose counts are broadcast, at most; all other counts are joined
 FREQUENT = 1 << 18
 BATCH, RATE, PASSES = 2048, 0.5, 2
+#: rows of one class that are worked on at once
+TILE = 64
 #: networks that one group averages
 FAN_IN = 32
 
@@ -58,59 +62,99 @@ class Network:
         return sum(int(np.prod(s)) for s in cls.SHAPES.values())
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[0][context[:, 0]]
+        h = np.take(self.embed[0], context[:, 0], axis=0)
         for k in range(1, 2 * WINDOW):
-            h += self.embed[k][context[:, k]]
-        return np.tanh(h + self.bias)
+            h += np.take(self.embed[k], context[:, k], axis=0)
+        h += self.bias
+        return np.tanh(h, out=h)
+
+    def _within(self, h: np.ndarray, tiles: Tiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each tile: token weights, hidden rows, and activations of the tokens of its class."""
+        x = np.zeros((tiles.slots, DIM), dtype=np.float32)
+        x[tiles.slot] = h[tiles.order]
+        x = x.reshape(-1, TILE, DIM)
+        w = self.tokens[tiles.own]
+        z = np.matmul(w, x.transpose(0, 2, 1))
+        z += self.token_bias[tiles.own][:, :, None]
+        return w, x, z
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token given its context."""
         h = self.hidden(context)
         group, inner = token // PER_CLASS, token % PER_CLASS
-        z = h @ self.classes.T + self.class_bias
-        out = z[np.arange(len(h)), group] - _log_sum(z)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                z = h[at] @ self.tokens[c].T + self.token_bias[c]
-                out[at] += z[np.arange(len(at)), inner[at]] - _log_sum(z)
+        z = self.classes @ h.T
+        z += self.class_bias[:, None]
+        out = z[group, np.arange(len(h))] - _log_sum(z, 0)
+        tiles = Tiles(group)
+        _, _, z = self._within(h, tiles)
+        own = z[tiles.slot // TILE, inner[tiles.order], tiles.slot % TILE]
+        out[tiles.order] += own - _log_sum(z, 1).reshape(-1)[tiles.slot]
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step of gradient descent on a batch."""
         n, h = len(token), self.hidden(context)
         group, inner = token // PER_CLASS, token % PER_CLASS
-        p = _softmax(h @ self.classes.T + self.class_bias)
-        p[np.arange(n), group] -= 1
-        back = p @ self.classes
-        self.classes -= rate / n * (p.T @ h)
-        self.class_bias -= rate / n * p.sum(axis=0)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                q = _softmax(h[at] @ self.tokens[c].T + self.token_bias[c])
-                q[np.arange(len(at)), inner[at]] -= 1
-                back[at] += q @ self.tokens[c]
-                self.tokens[c] -= rate / max(32, len(at)) * (q.T @ h[at])
-                self.token_bias[c] -= rate / max(32, len(at)) * q.sum(axis=0)
+        p = self.classes @ h.T
+        p += self.class_bias[:, None]
+        p = _softmax(p, 0)
+        p[group, np.arange(n)] -= 1
+        back = p.T @ self.classes
+        self.classes -= rate / n * (p @ h)
+        self.class_bias -= rate / n * p.sum(axis=1)
+        tiles = Tiles(group)
+        w, x, q = self._within(h, tiles)
+        q = _softmax(q, 1)
+        q.transpose(0, 2, 1)[tiles.empty()] = 0
+        q[tiles.slot // TILE, inner[tiles.order], tiles.slot % TILE] -= 1
+        back[tiles.order] += np.matmul(q.transpose(0, 2, 1), w).reshape(-1, DIM)[tiles.slot]
+        has, first = tiles.classes()
+        step = (rate / np.maximum(32, tiles.count[has])).astype(np.float32)
+        self.tokens[has] -= step[:, None, None] * np.add.reduceat(np.matmul(q, x), first, axis=0)
+        self.token_bias[has] -= step[:, None] * np.add.reduceat(q.sum(axis=2), first, axis=0)
         back *= (1 - h * h) * (rate / 32)
         self.bias -= back.sum(axis=0) * (32 / n)
-        for k in range(2 * WINDOW):
-            np.subtract.at(self.embed[k], context[:, k], back)
+        for k in range(2 * WINDOW):  # entry by entry: one-dimensional updates are the fast ones
+            np.subtract.at(self.embed[k].reshape(-1), (context[:, k, None] * DIM + np.arange(DIM)).reshape(-1), back.reshape(-1))
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+class Tiles:
+    """Rows of a batch in order of their class, in tiles of TILE rows of one class, so that classes are worked on at once."""
 
+    def __init__(self, group: np.ndarray):
+        self.order = np.argsort(group.astype(np.uint8), kind="stable")
+        self.count = np.bincount(group, minlength=CLASSES)
+        self.of = -(-self.count // TILE)
+        self.own = np.repeat(np.arange(CLASSES), self.of)
+        self.slots = TILE * len(self.own)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.slot = np.repeat((np.cumsum(self.of) - self.of) * TILE, self.count) + place
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    def empty(self) -> np.ndarray:
+        out = np.ones(self.slots, dtype=bool)
+        out[self.slot] = False
+        return out.reshape(-1, TILE)
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Classes that have rows, and the first tile of each."""
+        has = np.flatnonzero(self.count)
+        return has, (np.cumsum(self.of) - self.of)[has]
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Activations beyond 60 stay there: sums of their exponentials stay finite."""
+    return np.exp(np.clip(z, -60, 60, out=z), out=z)
+
+
+def _log_sum(z: np.ndarray, axis: int) -> np.ndarray:
+    top = z.max(axis=axis, keepdims=True)
+    return np.log(np.exp(z - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def _softmax(z: np.ndarray, axis: int) -> np.ndarray:
+    e = _exp(z)
+    e /= e.sum(axis=axis, keepdims=True)
+    return e
 
 
 def token_ids(w: Words, own: np.ndarray) -> np.ndarray:
@@ -148,10 +192,19 @@ def vocabulary(base: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(word hash, times) over all texts, and the sorted hashes of the OWN most frequent words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "times"])
+
+        waiting: list[np.ndarray] = []
         for b in batches:
             for _, _, buf, offs in blocks(b.column(2)):
-                h, n = np.unique(words(buf, offs, SPACED).hash, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "times"])
+                waiting.append(words(buf, offs, SPACED).hash)
+                if sum(map(len, waiting)) >= COUNTED:
+                    yield close()
+        if waiting:
+            yield close()
 
     counts = keep(base.mapInArrow(lean(count), "word long, times long").groupBy("word").agg(F.sum("times").alias("times")), "words")
     top = counts.orderBy(F.desc("times"), "word").limit(OWN).select("word").collect()
