@@ -84,11 +84,12 @@ class Network:
         group, inner = token // PER_CLASS, token % PER_CLASS
         z = self.classes @ h.T
         z += self.class_bias[:, None]
-        out = z[group, np.arange(len(h))] - _log_sum(z, 0)
+        e = _exp(z)
+        out = np.log(e[group, np.arange(len(h))] / e.sum(axis=0))
         tiles = Tiles(group)
-        _, _, z = self._within(h, tiles)
-        own = z[tiles.slot // TILE, inner[tiles.order], tiles.slot % TILE]
-        out[tiles.order] += own - _log_sum(z, 1).reshape(-1)[tiles.slot]
+        e = _exp(self._within(h, tiles)[2])
+        own = e[tiles.slot // TILE, inner[tiles.order], tiles.slot % TILE]
+        out[tiles.order] += np.log(own / e.sum(axis=1).reshape(-1)[tiles.slot])
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray, rate: float) -> None:
@@ -146,11 +147,6 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(z, -60, 60, out=z), out=z)
 
 
-def _log_sum(z: np.ndarray, axis: int) -> np.ndarray:
-    top = z.max(axis=axis, keepdims=True)
-    return np.log(np.exp(z - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 def _softmax(z: np.ndarray, axis: int) -> np.ndarray:
     e = _exp(z)
     e /= e.sum(axis=axis, keepdims=True)
