@@ -1,5 +1,8 @@
 import datetime as dt
+import html
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,8 +67,57 @@ def test_dates(spark, words, want, rule):
     ("at 6pm", [(18.0, "clock")]), ("12 a.m. and 4.30pm", [(0.0, "clock"), (16.5, "clock")]), ("as of 6pm this morning", [(9.0, "period")]), ("jam 4 pagi", [(4.0, "clock")]),
     ("pukul 5 petang", [(17.0, "clock")]), ("pukul 12 tengah hari", [(12.0, "clock")]), ("hingga 8pm", []), (None, []),
 ])
-def test_times(words, want):
-    assert [(t["hour"], t["kind"]) for t in text.times_in(words)] == want
+def test_times(spark, words, want):
+    assert [(t["hour"], t["kind"]) for t in one(spark, text.extract_times(F.col("t")), t=words)] == want
+
+
+TIME = re.compile(r"\b(\d{1,2})(?:[.:](\d{2}))?\s*([ap])\.?m\.?(?![a-z])", re.I)
+SAID = re.compile(r"\b(?:jam|pukul)\s+(\d{1,2})(?:[.:](\d{2}))?\s*(pagi|tengah hari|petang|malam)?", re.I)
+REPORTED = re.compile(r"(as of|as at|until|till|by|setakat|sehingga|hingga|updated?|published|posted)\s*[:\-]?\s*$", re.I)
+
+
+def brute_times(t):
+    """Match by match, with the characters before each."""
+    found = []
+    for form in (TIME, SAID):
+        for m in form.finditer(t):
+            if REPORTED.search(t[: m.start()][-14:]):
+                continue
+            h, minutes, word = int(m[1]), int(m[2] or 0) / 60, (m[3] or "").lower()
+            if form is TIME and h in range(1, 13):
+                found.append((h % 12 + (12 if word == "p" else 0) + minutes, "clock"))
+            elif form is SAID:
+                if h < 12 and (word in ("petang", "malam") or word == "tengah hari" and h != 11):
+                    h += 12
+                if h < 24:
+                    found.append((h + minutes, "clock"))
+    words = re.findall(r"\b(" + "|".join(text.PERIODS) + r")\b", t, re.I)
+    return found or [(float(text.PERIODS[w.lower()]), "period") for w in words[:2]]
+
+
+def test_times_by_brute_force(spark):
+    rng = random.Random(1)
+    bits = ["6pm", "6.10 pm", "12 a.m.", "13pm", "16pm", "7:30am", "jam 4", "pukul 5 petang", "pukul 11 tengah hari", "pukul 12 tengah hari", "jam 25", "until ", "as of: ", "by - ", "setakat", "sehingga   "]
+    bits += ["hingga          ", "published", "updated at ", "morning", "pagi", "tengah malam", "malam", "noon", "afternoon", " ", "  ", "x", "\n", ",", "until6pm", "ampm", "5 p.m.x", "hari ini"]
+    some = ["".join(rng.choice(bits) + rng.choice(["", " ", "\t"]) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    d = spark.createDataFrame(list(enumerate(some)), "i int, t string")
+    for r in d.select("i", text.extract_times(F.col("t")).alias("x")).collect():
+        assert [tuple(x) for x in r["x"]] == brute_times(some[r["i"]]), some[r["i"]]
+
+
+def test_character_references(spark):
+    refs = ["&amp;", "&eacute;", "&eacute x", "&#8217;", "&#x2014;", "&#128;", "&#0;", "&nosuch;", "&amp", "& b", "&&amp;&lt;", "a&nbsp;", "&#1114112;", "&CounterClockwiseContourIntegral;", "&notin;", "plain", "&amp;lt;"]
+    got = spark.createDataFrame(list(enumerate(refs)), "i int, t string").select("t", text.decoded(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in got} == {t: html.unescape(t) for t in refs}
+
+
+def test_html_attributes_in_any_order(spark):
+    page = """<html><title> A &eacute; <b>t&#8217;s</b></title><!-- <meta property="article:published_time" content="1999-01-01"> --><meta property="og:x" content="2000-01-01">
+      <META content="2021-05-06T07:08" data-x='>' property='article:published_time'><body><p title="a>b">""" + "x" * 41 + " &amp;\u00a0<b> y</b>\nz</p><p>short</p></body></html>"
+    got = one(spark, text.html_fields(F.col("h")), h=page)
+    assert tuple(got) == ("A ét’s", "2021-05-06", "A ét’s\n" + "x" * 41 + " & y z")
+    got = one(spark, text.html_fields(F.col("h")), h="<title>T</title> no <i>paragraph</i><script>x()</script>")
+    assert tuple(got) == ("T", "", "T\nT no paragraph")
 
 
 def test_html(spark):
@@ -149,6 +201,6 @@ def test_times_of_whole_turns(spark, tmp_path):
     said = ["short, at 9pm", "word " * 60 + "then 11.15 pm and pukul 3 pagi", "x" * 99 + " 8 am" + " y" * 500 + " 5pm", ""]
     rows = [(k // 2, k % 2, s) for k, s in enumerate(said)]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    want = [(c, t, x["hour"], x["kind"]) for c, t, s in rows for x in text.times_in(f"pukul {t % 13} petang until 6pm, at 7.30 am {s}")]
+    want = [(c, t, *x) for c, t, s in rows for x in brute_times(f"pukul {t % 13} petang until 6pm, at 7.30 am {s}")]
     got = [tuple(r) for r in registry.QUERIES["extract_times"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {(0, 1, 23.25), (1, 0, 17.0)} <= {r[:3] for r in got}

@@ -191,36 +191,40 @@ GAZ = {"the": ("A", 1.0, 2.0), "la": ("B", 3.0, 4.0), "der": ("C", 5.0, 6.0), "a
 
 @query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ') AS t FROM documents),
 f AS (SELECT doc_id, list_filter(t, lambda x: x IN ('the', 'la', 'der', 'and')) AS f, list_filter(t, lambda x: x IN ('the', 'la', 'der')) AS s FROM w)
-SELECT doc_id, len(CASE WHEN len(s) > 0 THEN s ELSE f END) AS n, array_to_string((CASE WHEN len(s) > 0 THEN s ELSE f END)[1:20], ' ') AS first_names FROM f""".replace("len(CASE", "CAST(len(CASE").replace("END) AS n", "END) AS INTEGER) AS n"))
+SELECT doc_id, CAST(len(CASE WHEN len(s) > 0 THEN s ELSE f END) AS INTEGER) AS n, md5(array_to_string(CASE WHEN len(s) > 0 THEN s ELSE f END, ' ')) AS names FROM f""")
 def gazetteer_scan(spark, d):
     found = text.find_places(F.col("text"), tuple(GAZ), ("and",))
-    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", F.size("f").alias("n"), F.array_join(F.slice("f", 1, 20), " ").alias("first_names"))
+    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", F.size("f").alias("n"), F.md5(F.array_join("f", " ").cast("binary")).alias("names"))
 
 
-@query("""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b[^>]*>.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g'), '(?is)<header\\b[^>]*>.*?</header\\s*>', ' ', 'g'), '(?is)<aside\\b[^>]*>.*?</aside\\s*>', ' ', 'g') AS bare FROM pages),
-p AS (SELECT page_id, list_transform(regexp_extract_all(bare, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g'))) AS ps FROM b)
-SELECT page_id, CAST(len(list_filter(ps, lambda x: length(x) > 40)) AS INTEGER) AS n_paragraphs, md5(array_to_string(list_filter(ps, lambda x: length(x) > 40), chr(10))) AS digest FROM p WHERE len(list_filter(ps, lambda x: length(x) > 40)) > 0""")
-def html_extract(spark, d):
-    f = table(spark, d, "pages").select("page_id", text.html_fields(F.col("html")).alias("f"), F.col("html"))
-    body = F.expr("substring(f.text, length(f.title) + 2)")
-    parts = F.split(body, "\n")
-    has = F.size(F.filter(parts, lambda x: F.length(x) > 40)) == F.size(parts)
-    made = f.select("page_id", body.alias("body"), parts.alias("parts"), has.alias("whole"), _paragraphs(F.col("html")).alias("n_paragraphs"))
-    return made.where("n_paragraphs > 0").select("page_id", "n_paragraphs", F.md5(F.col("body").cast("binary")).alias("digest"))
+#: what stands in for publication dates and character references, which the pages lack
+PAGES = """h AS (SELECT page_id, replace(replace(html, '<head>', CASE page_id % 3 WHEN 0 THEN '<head><meta content="2021-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-07T08:09" property="article:published_time">'
+  WHEN 1 THEN '<head><meta name="x" property=''article:published_time'' content=''2022-11-30''>' ELSE '<head><meta property="og:title" content="1999-01-01">' END), '</title>', ' caf&eacute;<b> t&#8217;s</b> </title>') AS html FROM pages)"""
+
+
+def marked_pages(spark, d) -> DataFrame:
+    k = F.col("page_id")
+    own = F.concat(F.lit('<head><meta content="2021-0'), (k % 9 + 1).cast("string"), F.lit('-07T08:09" property="article:published_time">'))
+    head = F.when(k % 3 == 0, own).when(k % 3 == 1, "<head><meta name=\"x\" property='article:published_time' content='2022-11-30'>").otherwise('<head><meta property="og:title" content="1999-01-01">')
+    page = F.replace(F.replace("html", F.lit("<head>"), head), F.lit("</title>"), F.lit(" caf&eacute;<b> t&#8217;s</b> </title>"))
+    return table(spark, d, "pages").select("page_id", page.alias("html"))
 
 
-def _paragraphs(html):
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|aside)\b[^>]*>.*?</\1\s*>", " ")
-    found = F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))
+def _markup_sql(x: str, between: str = " ") -> str:
+    """Text between tags, stripped and joined, with the character references that the pages have."""
+    plain = "replace(replace(replace(replace(replace(t, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&eacute;', 'é'), '&#8217;', '’')"
+    return f"""array_to_string(list_filter(list_transform(string_split_regex({x}, '(?s)<!--.*?-->|</?[a-zA-Z!][^>]*>'), lambda t: regexp_replace(regexp_replace({plain}, '&amp;?', '&', 'g'), '^\\s+|\\s+$', '', 'g')), lambda t: t <> ''), '{between}')"""
 
-    def plain(x):
-        x = F.regexp_replace(x, r"(?s)<!--.*?-->|<[^>]*>", " ")
-        for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-            x = F.replace(x, F.lit(a), F.lit(b))
-        return F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " "))
 
-    return F.size(F.filter(F.transform(found, plain), lambda p: F.length(p) > 40))
+@query(f"""WITH {PAGES}, b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b[^>]*>.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g'), '(?is)<header\\b[^>]*>.*?</header\\s*>', ' ', 'g'), '(?is)<aside\\b[^>]*>.*?</aside\\s*>', ' ', 'g') AS bare FROM h),
+p AS (SELECT page_id, bare, {_markup_sql("regexp_extract(bare, '(?is)<title[^>]*>(.*?)</title>', 1)", '')} AS title, CASE page_id % 3 WHEN 0 THEN '2021-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-07' WHEN 1 THEN '2022-11-30' ELSE '' END AS meta_date,
+  list_filter(list_transform(regexp_extract_all(bare, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1), lambda x: {_markup_sql('x')}), lambda x: length(x) > 40) AS ps FROM b),
+t AS (SELECT page_id, title, meta_date, regexp_replace(title || chr(10) || CASE WHEN len(ps) > 0 THEN array_to_string(ps, chr(10)) ELSE {_markup_sql('bare')} END, '[ \\t]+', ' ', 'g')[1:60000] AS text FROM p)
+SELECT page_id, title, meta_date, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM t""")
+def html_extract(spark, d):
+    f = marked_pages(spark, d).select("page_id", text.html_fields(F.col("html")).alias("f"))
+    return f.select("page_id", "f.title", "f.meta_date", F.length("f.text").alias("n_chars"), F.md5(F.col("f.text").cast("binary")).alias("digest"))
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -234,13 +238,27 @@ def cache_key(spark, d):
     return table(spark, d, "pages").select("page_id", text.cache_key(F.col("url")).alias("key"))
 
 
-@query()
+LED = r"(?i)((?:as of|as at|until|till|by|setakat|sehingga|hingga|updated?|published|posted)\s*[:\-]?\s*)?"
+CLOCKS = LED + r"\b([0-9]{1,2})(?:[.:]([0-9]{2}))?\s*(a\.?m\.?|p\.?m\.?)(?:[^a-zA-Z]|$)"
+SPOKEN = LED + r"\b(?:jam|pukul)\s+([0-9]{1,2})(?:[.:]([0-9]{2}))?\s*(pagi|tengah hari|petang|malam)?"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, 'pukul ' || CAST(turn % 13 AS VARCHAR) || ' petang until 6pm, at 7.30 am ' || text AS t FROM conversations),
+m AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '{CLOCKS}')) AS m, 1 AS k FROM t UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(t, '{SPOKEN}')), 2 FROM t),
+x AS (SELECT conv_id, turn, k, regexp_extract(m, CASE k WHEN 1 THEN '{CLOCKS}' ELSE '{SPOKEN}' END, ['led', 'h', 'mi', 'part']) AS g FROM m WHERE k = 1 UNION ALL SELECT conv_id, turn, k, regexp_extract(m, '{SPOKEN}', ['led', 'h', 'mi', 'part']) FROM m WHERE k = 2),
+y AS (SELECT conv_id, turn, k, TRY_CAST(g.h AS INTEGER) AS h, coalesce(TRY_CAST(g.mi AS INTEGER), 0) AS mi, lower(g.part) AS part FROM x WHERE g.led = ''),
+z AS (SELECT conv_id, turn, mi, CASE WHEN k = 1 THEN CASE WHEN h BETWEEN 1 AND 12 THEN h % 12 + CASE WHEN part LIKE 'p%' THEN 12 ELSE 0 END END WHEN h <= 23 THEN CASE WHEN h < 12 AND (part IN ('petang', 'malam') OR part = 'tengah hari' AND h <> 11) THEN h + 12 ELSE h END END AS h FROM y)
+SELECT conv_id, turn, h + mi / 60.0 AS hour, 'clock' AS kind FROM z WHERE h IS NOT NULL""".replace("regexp_extract(m, CASE k WHEN 1 THEN '" + CLOCKS + "' ELSE '" + SPOKEN + "' END, [", "regexp_extract(m, '" + CLOCKS + "', [").replace("h + mi / 60.0 AS hour", "CAST(h + mi / CAST(60 AS DOUBLE) AS DOUBLE) AS hour"))
 def extract_times(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("pukul "), F.col("turn") % 13, F.lit(" petang until 6pm, at 7.30 am "), "text").alias("t"))
-    return c.select("conv_id", "turn", F.explode(text.extract_times("t")).alias("x")).select("conv_id", "turn", "x.hour", "x.kind")
+    return c.select("conv_id", "turn", F.explode(text.extract_times(F.col("t"))).alias("x")).select("conv_id", "turn", "x.hour", "x.kind")
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 7 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN CASE WHEN make_date(year(d), 10, 15) > d + 3 THEN make_date(year(d) - 1, 10, 15) ELSE make_date(year(d), 10, 15) END
+  WHEN 1 THEN CASE WHEN make_date(year(d), 12, 15) > d + 3 THEN make_date(year(d) - 1, 12, 15) ELSE make_date(year(d), 12, 15) END
+  WHEN 2 THEN d - CAST((isodow(d) + 5) % 7 AS INTEGER) WHEN 3 THEN d - 1 WHEN 4 THEN d WHEN 5 THEN d - CAST((isodow(d) + 6) % 7 AS INTEGER) END AS date,
+  CASE k WHEN 0 THEN 'explicit' WHEN 1 THEN 'explicit' WHEN 2 THEN 'weekday' WHEN 3 THEN 'yesterday' WHEN 4 THEN 'today' WHEN 5 THEN 'weekday' END AS rule FROM o""")
 def resolve_date(spark, d):
     words = F.element_at(F.array(*map(F.lit, ("on Oct 15", "15 dis lalu", "on Tuesday", "semalam", "hari ini", "Feb 30 Monday", "nothing"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", text.resolved_date(words, F.col("o_orderdate").cast("date")).alias("r")).select("o_orderkey", "r.date", "r.rule")
@@ -255,7 +273,8 @@ def date_vote(spark, d):
     return text.date_votes(table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("event_id"), F.col("o_orderdate").cast("date").alias("date"), rule.alias("rule")))
 
 
-@query()
+@query("""SELECT doc_id % 40 AS event_id, count(*) AS n_articles_used, DATE '2021-10-15' AS date_auto, 3 * count(*) AS votes, 18.0::DOUBLE AS hour_clock, count(*) AS clock_mentions, CAST(NULL AS DOUBLE) AS hour_period,
+  'Klang (' || count(*) || '); Petaling (' || count(*) || ')' AS districts, 'klang (' || count(*) || '); shah alam (' || count(*) || ')' AS places, round((3.045 + 3.073) / 2, 3)::DOUBLE AS lat, round((101.445 + 101.518) / 2, 3)::DOUBLE AS lon FROM documents GROUP BY 1""")
 def event_details(spark, d):
     docs = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("event_id"), F.col("doc_id").alias("url"), F.concat(F.lit("Banjir kilat in Klang and Shah Alam on Oct 15 at 6pm. "), F.col("text")).alias("text"), F.lit("2021-10-20").cast("date").alias("published"))
     return text.event_details(docs)
@@ -555,17 +574,34 @@ def tide_harmonic_fit(spark, d):
     return harmonics.fit_report(tide.predict(p), "sea_level", "tide_m")
 
 
-@query()
+@query(f"""WITH {SPIKES}, x AS (SELECT day, CAST(n_loose AS DOUBLE) AS y, CAST(n_strict AS DOUBLE) AS a, sin(2 * pi() * month(day) / 12) AS b FROM sp),
+m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bb FROM x WHERE day < DATE '2000-01-01'),
+w AS (SELECT *, (ay * vb - bb * ab) / (va * vb - ab * ab) AS wa, (bb * va - ay * ab) / (va * vb - ab * ab) AS wb FROM m), p AS (SELECT y, y - (my + wa * (a - ma) + wb * (b - mb)) AS e FROM x, w WHERE day >= DATE '2000-01-01')
+SELECT round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2, round(stddev_pop(e), 6) AS residual_sd, count(*) AS n FROM p""")
 def linear_fit(spark, d):
+    return r6(_linear_fit(spark, d), "r2", "residual_sd")
+
+
+def _linear_fit(spark, d) -> DataFrame:
     return harmonics.linear_fit_report(labelled(spark, d), "f1", ["f2", "month_sin"], F.col("day") < F.lit("2000-01-01").cast("date"))
 
 
 # ---------------------------------------------------------------- states and reports
 
+#: added before results are rounded, so that no value of few digits lies between two of nine
+TIES = 3.3e-11
+#: the panel with means in whole sixteenths, which add up alike in any order
+EXACT = "ex AS (SELECT date_trunc('hour', ts) AS time, CAST(user_id % 5 AS INTEGER) AS point, CAST(sum(CAST(round(value * 100) AS BIGINT)) * 16 // (100 * count(*)) AS DOUBLE) / 16 AS mm, max(value) AS peak FROM events GROUP BY 1, 2)"
+
+
+def exact_panel(spark, d) -> DataFrame:
+    h = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), (F.col("user_id") % 5).cast("int").alias("point"))
+    return h.agg((F.expr("sum(cast(round(value * 100) as bigint)) * 16 div (100 * count(*))").cast("double") / 16).alias("mm"), F.max("value").alias("peak"))
+
 
 def era5_like(spark, d) -> DataFrame:
     m, k = F.col("mm"), F.col("point")
-    return panel(spark, d).select(
+    return exact_panel(spark, d).select(
         "time", F.concat(F.lit("p"), "point").alias("point"), (20 + m / 50).alias("temperature_2m"), (15 + m / 60).alias("dew_point_2m"), (1000.0 + k).alias("surface_pressure"), (50 + m / 20).alias("relative_humidity_2m"), (m / 5).alias("cloud_cover"),
         (m * 2).alias("shortwave_radiation"), (m + 100).alias("boundary_layer_height"), (m / 1000).alias("soil_moisture_0_to_7cm"), (40 + m / 30).alias("total_column_integrated_water_vapour"), (F.col("peak") / 50).alias("wind_speed_10m"), (F.col("peak") * 0.7).alias("wind_direction_10m"),
     )
@@ -573,31 +609,66 @@ def era5_like(spark, d) -> DataFrame:
 
 def nwp_like(spark, d) -> DataFrame:
     m = F.col("mm")
-    return panel(spark, d).select(
+    return exact_panel(spark, d).select(
         "time", F.concat(F.lit("p"), "point").alias("point"), (10 + m / 50).alias("temperature_850hPa"), (m / 90 - 10).alias("temperature_500hPa"), (50 + m / 20).alias("relative_humidity_850hPa"), (m * 4).alias("cape"), (-m / 100).alias("lifted_index"),
         (F.col("peak") / 40).alias("wind_speed_850hPa"), (F.col("peak") * 0.5).alias("wind_direction_850hPa"),
     )
 
 
-@query(f"""WITH {PANEL}, e AS (SELECT time, avg(40 + mm / 30) AS w, avg(mm * 2) AS sw, avg(20 + mm / 50) AS t FROM pan GROUP BY time),
+@query(f"""WITH {EXACT}, e AS (SELECT time, avg(40 + mm / 30) AS w, avg(mm * 2) AS sw, avg(20 + mm / 50) AS t FROM ex GROUP BY time),
 c AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(time AS DATE)) FROM e), (SELECT max(CAST(time AS DATE)) FROM e), INTERVAL 1 DAY)) AS DATE) AS day),
 g AS (SELECT CAST(time AS DATE) AS day, avg(w) AS wm, max(w) AS wx, sum(sw) AS sw, max(t) AS t FROM e GROUP BY 1), z AS (SELECT CAST(time AS DATE) AS day, w AS w00 FROM e WHERE hour(time) = 0)
-SELECT day, round(lag(wm) OVER (ORDER BY day), 4) AS tcwv_d1_mean, round(lag(wx) OVER (ORDER BY day), 4) AS tcwv_d1_max, round(lag(sw) OVER (ORDER BY day), 2) AS sw_d1_sum, round(w00, 4) AS tcwv_00, round(w00 - lag(w00) OVER (ORDER BY day), 4) AS tcwv_delta24, round(t, 4) AS now_t2m_max
+SELECT day, round(lag(wm) OVER (ORDER BY day) + {TIES}, 9) AS tcwv_d1_mean, round(lag(wx) OVER (ORDER BY day) + {TIES}, 9) AS tcwv_d1_max, round(lag(sw) OVER (ORDER BY day) + {TIES}, 9) AS sw_d1_sum, round(w00 + {TIES}, 9) AS tcwv_00, round(w00 - lag(w00) OVER (ORDER BY day) + {TIES}, 9) AS tcwv_delta24, round(t + {TIES}, 9) AS now_t2m_max
 FROM c LEFT JOIN g USING (day) LEFT JOIN z USING (day)""")
 def state_features(spark, d):
     f = reports.state_features(era5_like(spark, d), nwp_like(spark, d))
-    f = r6(f.select("day", "tcwv_d1_mean", "tcwv_d1_max", "sw_d1_sum", "tcwv_00", "tcwv_delta24", "now_t2m_max"), "tcwv_d1_mean", "tcwv_d1_max", "tcwv_00", "tcwv_delta24", "now_t2m_max", digits=4)
-    return r6(f, "sw_d1_sum", digits=2)
-
-
-@query()
+    f = f.select("day", "tcwv_d1_mean", "tcwv_d1_max", "sw_d1_sum", "tcwv_00", "tcwv_delta24", "now_t2m_max")
+    return f.select("day", *(F.round(F.col(c) + TIES, 9).alias(c) for c in f.columns[1:]))
+
+
+def _vapour(td: str) -> str:
+    return f"6.112 * exp(17.67 * ({td}) / (({td}) + 243.5))"
+
+
+AREAS = f"""{EXACT}, e0 AS (SELECT time, avg(20 + mm / 50) AS t, avg(15 + mm / 60) AS td, avg(1000.0 + point) AS p, avg(50 + mm / 20) AS rh, avg(mm / 5) AS cc, avg(mm * 2) AS sw, avg(mm + 100) AS blh, avg(mm / 1000) AS soil, avg(40 + mm / 30) AS w,
+  avg(-(peak / 50) * sin(radians(peak * 0.7))) AS u10, avg(-(peak / 50) * cos(radians(peak * 0.7))) AS v10 FROM ex GROUP BY time),
+e1 AS (SELECT *, {_vapour('td')} AS ve FROM e0), e2 AS (SELECT *, 0.622 * ve / (p - ve) AS r, 1.0 / (1.0 / (td + 273.15 - 56.0) + ln((t + 273.15) / (td + 273.15)) / 800.0) AS tl FROM e1),
+e AS (SELECT *, CAST(time AS DATE) AS day, (t + 273.15) * pow(1000.0 / (p - ve), 0.2854 * (1 - 0.28 * r)) * exp((3.376 / tl - 0.00254) * (r * 1000) * (1 + 0.81 * r)) AS th FROM e2),
+n AS (SELECT time, CAST(time AS DATE) AS day, avg(10 + mm / 50) AS t850, avg(10 + mm / 50) - avg(mm / 90 - 10) AS lapse, avg(50 + mm / 20) AS rh850, avg(mm * 4) AS cape, avg(-mm / 100) AS li,
+  avg(-(peak / 40) * sin(radians(peak * 0.5))) AS u850, avg(-(peak / 40) * cos(radians(peak * 0.5))) AS v850 FROM ex GROUP BY time),
+cal AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM e), (SELECT max(day) FROM e), INTERVAL 1 DAY)) AS DATE) AS day)"""
+STATE = {
+    "g": ("e", {"tcwv_d1_mean": "avg(w)", "tcwv_d1_max": "max(w)", "dewp_d1_mean": "avg(td)", "t2m_d1_max": "max(t)", "thetae_d1_max": "max(th)", "thetae_d1_mean": "avg(th)", "rh_d1_mean": "avg(rh)", "cloud_d1_mean": "avg(cc)", "sw_d1_sum": "sum(sw)", "blh_d1_max": "max(blh)", "u10_d1": "avg(u10)", "v10_d1": "avg(v10)"}),
+    "h": ("n", {"cape_d1_max": "max(cape)", "cape_d1_mean": "avg(cape)", "li_d1_min": "min(li)", "lapse_d1_mean": "avg(lapse)", "t850_d1_mean": "avg(t850)", "rh850_d1_mean": "avg(rh850)", "u850_d1": "avg(u850)", "v850_d1": "avg(v850)"}),
+}
+SAME = {
+    "se": ("e", {"now_tcwv_mean": "avg(w)", "now_thetae_max": "max(th)", "now_t2m_max": "max(t)", "now_cloud_mean": "avg(cc)", "tcwv_00": "max(w) FILTER (hour(time) = 0)", "thetae_00": "max(th) FILTER (hour(time) = 0)", "dewp_00": "max(td) FILTER (hour(time) = 0)", "soil_00": "max(soil) FILTER (hour(time) = 0)"}),
+    "sn": ("n", {"now_cape_max": "max(cape)", "now_li_min": "min(li)", "cape_00": "max(cape) FILTER (hour(time) = 0)", "rh850_00": "max(rh850) FILTER (hour(time) = 0)", "t850_00": "max(t850) FILTER (hour(time) = 0)"}),
+}
+_parts = {k: f"{k} AS (SELECT day, {', '.join(f'{f} AS {name}' for name, f in v.items())} FROM {t} GROUP BY day)" for k, (t, v) in (STATE | SAME).items()}
+
+
+@query(f"""WITH {AREAS}, {', '.join(_parts.values())}, c AS (SELECT day, max(c) AS cape_fc1_max FROM (SELECT time, CAST(time AS DATE) AS day, avg(mm) AS c FROM ex GROUP BY time) GROUP BY day)
+SELECT day, {', '.join(f'round(lag({name}) OVER (ORDER BY day) + {TIES}, 9) AS {name}' for _, v in STATE.values() for name in v)}, {', '.join(f'round({name} + {TIES}, 9) AS {name}' for _, v in SAME.values() for name in v)},
+  round(tcwv_00 - lag(tcwv_00) OVER (ORDER BY day) + {TIES}, 9) AS tcwv_delta24, round(cape_fc1_max + {TIES}, 9) AS cape_fc1_max FROM cal LEFT JOIN g USING (day) LEFT JOIN h USING (day) LEFT JOIN se USING (day) LEFT JOIN sn USING (day) LEFT JOIN c USING (day)""")
 def state_features_all(spark, d):
-    return reports.state_features(era5_like(spark, d), nwp_like(spark, d), panel(spark, d).select("time", F.col("mm").alias("cape_previous_day1")))
-
-
-@query()
+    f = reports.state_features(era5_like(spark, d), nwp_like(spark, d), exact_panel(spark, d).select("time", F.col("mm").alias("cape_previous_day1")))
+    return f.select("day", *(F.round(F.col(c) + TIES, 9).alias(c) for c in f.columns if c != "day"))
+
+
+@query(f"""WITH {AREAS}, q AS (SELECT quantile_cont(w, 0.75) AS edge FROM e), dd AS (SELECT day, avg(w) AS m, count(*) FILTER (w > edge) AS hi, avg(CAST(w IS NULL AS INTEGER)) AS missing, max(w) FILTER (hour(time) = 0) AS tcwv_00, max(w) FILTER (hour(time) = 18) AS w18 FROM e, q GROUP BY day),
+f0 AS (SELECT time, count(*) AS n, -(sum(qu * CASE point {' '.join(f'WHEN {k} THEN {_SLOPES[f"p{k}"][0]!r}' for k in range(5))} END) + sum(qv * CASE point {' '.join(f'WHEN {k} THEN {_SLOPES[f"p{k}"][1]!r}' for k in range(5))} END)) * 1000 AS mfc
+  FROM (SELECT time, point, q * -(peak / 50) * sin(radians(peak * 0.7)) AS qu, q * -(peak / 50) * cos(radians(peak * 0.7)) AS qv FROM (SELECT *, 0.622 * ({_vapour('15 + mm / 60')}) / (1000.0 + point - ({_vapour('15 + mm / 60')})) AS q FROM ex)) GROUP BY time),
+fd AS (SELECT CAST(time AS DATE) AS day, max(mfc) FILTER (hour(time) = 0) AS mfc_00, max(mfc) AS hi_mfc, avg(mfc) AS mean_mfc FROM f0 WHERE n = 5 GROUP BY 1),
+n0 AS (SELECT *, rh850 / 100 * ({_vapour('t850')}) AS ve FROM n WHERE hour(time) = 0), nd AS (SELECT day, 0.622 * ve / (850 - 0.378 * ve) * 1000 AS q850, u850, v850 FROM n0),
+j AS (SELECT cal.day, dd.*  EXCLUDE (day), mfc_00, hi_mfc, mean_mfc, q850, u850, v850 FROM cal LEFT JOIN dd USING (day) LEFT JOIN fd USING (day) LEFT JOIN nd USING (day)),
+k AS (SELECT *, CASE WHEN count(m) OVER (ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) >= 30 THEN avg(m) OVER (ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) END AS m60 FROM j)
+SELECT day, round(tcwv_00 + {TIES}, 9) AS tcwv_00, round(tcwv_00 - m60 + {TIES}, 9) AS tcwv_anom_00, round(tcwv_00 - lag(w18) OVER o + {TIES}, 9) AS tcwv_chg6_00, round(tcwv_00 - lag(tcwv_00) OVER o + {TIES}, 9) AS tcwv_chg24_00, lag(hi) OVER o AS tcwv_hi_hours_d1, coalesce(missing, 0.0) AS tcwv_missing,
+  round(mfc_00 + {TIES}, 9) AS mfc_00, round(lag(hi_mfc) OVER o + {TIES}, 9) AS mfc_d1_min, round(lag(mean_mfc) OVER o + {TIES}, 9) AS mfc_d1_mean, round(q850 + {TIES}, 9) AS q850_00, round(q850 * u850 + {TIES}, 9) AS fluxu850_00, round(q850 * v850 + {TIES}, 9) AS fluxv850_00, round(tcwv_00 * sqrt(u850 * u850 + v850 * v850) + {TIES}, 9) AS ivt_proxy_00
+FROM k WINDOW o AS (ORDER BY day)""")
 def moisture_features(spark, d):
-    return reports.moisture_features(era5_like(spark, d), nwp_like(spark, d), POINTS)
+    f = reports.moisture_features(era5_like(spark, d), nwp_like(spark, d), POINTS)
+    return f.select(*(F.round(F.col(c) + TIES, 9).alias(c) if kind == "double" else F.col(c) for c, kind in f.dtypes))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, max(value) AS high, min(value) AS low FROM events GROUP BY 1")
@@ -676,7 +747,7 @@ def year_slices(spark, d):
     return readers.year_slices(n).drop("first", "last")
 
 
-@query()
+@query("SELECT DISTINCT 'u' || CAST(page_id % 50 AS VARCHAR) AS DocumentIdentifier, 'FLOOD,5' AS V2Themes, 'en' AS Collection FROM pages")
 def stream_feed_dedupe(spark, d):
     """The feed parsed and deduplicated by a stream over text files, run to its end."""
     import uuid

@@ -312,7 +312,7 @@ def days_since_threshold(spark, d):
 
 @query(f"""WITH {R}, i AS (SELECT day, rain_daily AS x, row_number() OVER (ORDER BY day) AS i, count(rain_daily) OVER (ORDER BY day) AS n FROM rain)
 SELECT a.day, CASE WHEN any_value(a.n) >= 4 THEN round(sum(power(0.5, (a.i - b.i) / 4.0) * b.x) / sum(power(0.5, (a.i - b.i) / 4.0)), 6) END AS ewm
-FROM i a LEFT JOIN i b ON b.i BETWEEN a.i - 180 AND a.i AND b.x IS NOT NULL GROUP BY a.day""")
+FROM i a LEFT JOIN i b ON b.i <= a.i AND b.x IS NOT NULL GROUP BY a.day""")
 def ewm_halflife(spark, d):
     return r6(op.ewm_mean(rain_days(spark, d), "rain_daily", 4, 4).select("day", "ewm"), "ewm")
 
@@ -434,7 +434,30 @@ def build_features(spark, d):
     return r6(f, *(f"obs_{n}d_mean" for n in (3, 7, 14, 30)), digits=4)
 
 
-@query()
+_EWMS = ", ".join(f"CASE WHEN any_value(a.n) >= {h} THEN sum(power(0.5, (a.i - b.i) / {h}.0) * b.r) / sum(power(0.5, (a.i - b.i) / {h}.0)) END AS rain_ewm_hl{h}d" for h in (1, 2, 4, 8, 16))
+_t, _r, _s = "tcwv_00", "r", "soil_00"
+DERIVED = (
+    {f"rain_sum_{n}d": _rolling_sql("sum", -n + 1, 0, n, "r") for n in (1, 2, 3, 5, 7, 14, 30)}
+    | {"wet_days_7d": _rolling_sql("sum", -6, 0, 7, "wet"), "dry_days_7d": f"7 - {_rolling_sql('sum', -6, 0, 7, 'wet')}"}
+    | {f"tcwv_mean_{n}d": _rolling_sql("avg", -n + 1, 0, n, "tcwv_00") for n in (3, 7)}
+    | {
+        "tcwv_max_3d": _rolling_sql("max", -2, 0, 3, "tcwv_00"), "tcwv_min_7d": _rolling_sql("min", -6, 0, 7, "tcwv_00"), "tcwv_slope_3d": "(tcwv_00 - lag(tcwv_00, 2) OVER (ORDER BY day)) / 2",
+        "tcwv_chg_1d": "tcwv_00 - lag(tcwv_00, 1) OVER (ORDER BY day)", "tcwv_dev_from_14d": f"tcwv_00 - {_rolling_sql('avg', -14, -1, 10, 'tcwv_00')}", "soil_mean_3d": _rolling_sql("avg", -2, 0, 3, "soil_00"),
+        "soil_chg_3d": "soil_00 - lag(soil_00, 3) OVER (ORDER BY day)", "rh850_mean_3d": _rolling_sql("avg", -2, 0, 3, "rh850_00"), "tcwv_hi_days_7d": _rolling_sql("sum", -6, 0, 7, "hi"),
+    }
+)
+_same = ("tcwv_00", "soil_00", "rh850_00")
+
+
+@query(f"""WITH {R}, {DAILY}, s AS (SELECT rain.day, rain_daily AS rain, CAST(n_loose AS DOUBLE) AS tcwv_00, CAST(n_strict AS DOUBLE) AS soil_00, CAST(n_strict_my AS DOUBLE) AS rh850_00 FROM rain LEFT JOIN daily USING (day)),
+q AS (SELECT quantile_cont(tcwv_00, 0.75) AS edge FROM s), b AS (SELECT s.*, lag(rain) OVER (ORDER BY day) AS r, CAST(tcwv_00 > edge AS DOUBLE) AS hi, row_number() OVER (ORDER BY day) AS i FROM s, q),
+c AS (SELECT *, CAST(r > 1 AS DOUBLE) AS wet, count(r) OVER (ORDER BY day) AS n, sum(CASE WHEN r > 1 THEN 0 ELSE 1 END) OVER (ORDER BY day) AS dry_island, sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY day) AS gap_island FROM b),
+w AS (SELECT a.day, {_EWMS} FROM c a LEFT JOIN c b ON b.i <= a.i AND b.r IS NOT NULL GROUP BY a.day),
+f AS (SELECT day, rain, {', '.join(_same)}, {', '.join(f'{x} AS {k}' for k, x in DERIVED.items())}, CAST(CASE WHEN wet IS NOT NULL THEN sum(CASE WHEN wet = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY dry_island ORDER BY day) END AS BIGINT) AS wet_spell_len,
+  CAST(CASE WHEN r IS NOT NULL THEN day - max(CASE WHEN r >= 20 THEN day END) OVER (PARTITION BY gap_island ORDER BY day) END AS BIGINT) AS days_since_20mm FROM c)
+SELECT day, rain, {', '.join(_same)}, {', '.join(f'round({k}, 5) + 0.0 AS {k}' for k in DERIVED)}, wet_spell_len, days_since_20mm, {', '.join(f'round(rain_ewm_hl{h}d, 5) AS rain_ewm_hl{h}d' for h in (1, 2, 4, 8, 16))} FROM f JOIN w USING (day)""")
 def derived_antecedents(spark, d):
     s = rain_days(spark, d).join(daily(spark, d).select("day", F.col("n_loose").cast("double").alias("tcwv_00"), F.col("n_strict").cast("double").alias("soil_00"), F.col("n_strict_my").cast("double").alias("rh850_00")), "day", "left")
-    return features.derived(s.withColumnRenamed("rain_daily", "rain").drop("rain_hourly"))
+    f = features.derived(s.withColumnRenamed("rain_daily", "rain").drop("rain_hourly"))
+    plain = {"day", "rain", *_same}
+    return f.select(*((F.round(c, 5) + F.lit(0.0)).alias(c) if kind == "double" and c not in plain else F.col(c) for c, kind in f.dtypes))
