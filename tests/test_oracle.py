@@ -47,6 +47,8 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() >= 0
+def test_queries_without_sql_have_a_test_of_their_own():
+    from pathlib import Path
+
+    tests = Path(__file__).with_name("test_brute.py").read_text()
+    assert not [n for n in set(registry.QUERIES) - set(registry.ORACLE) if f'"{n}"' not in tests]

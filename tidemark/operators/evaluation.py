@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,14 +53,16 @@ def best_threshold(scores: DataFrame, by: Sequence[str] = (), y: str = "y", scor
     """(by, threshold, csi): of n quantiles of the scores the lowest with the largest CSI."""
     shares = [lo + (hi - lo) * k / (n - 1) for k in range(n)]
     cuts = scores.groupBy(*by).agg(F.array_distinct(F.percentile(score, shares)).alias("_q"))
-    step = curve(scores, by, y, score).select(*by, score, "tp", "n", "positives")
-    cut = cuts.select(*by, F.explode("_q").alias("threshold"))
-    # rows at or above a threshold are those of the lowest score not below it
-    joined = (cut.crossJoin(step) if not by else cut.join(step, list(by))).where(F.col(score) >= F.col("threshold"))
-    at = joined.groupBy(*by, "threshold").agg(F.max("tp").alias("hits"), F.max("n").alias("alerts"), F.max("positives").alias("positives"))
-    csi = F.col("hits") / F.greatest(F.col("alerts") + F.col("positives") - F.col("hits"), F.lit(1))
-    w = Window.partitionBy(*by).orderBy(F.desc("csi"), "threshold")
-    return at.withColumn("csi", csi).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*by, "threshold", "csi")
+    step = curve(scores, by, y, score)
+    # rows at or above a threshold are those of the lowest score not below it: each threshold lies above one lower score
+    below = F.lead(score).over(Window.partitionBy(*by).orderBy(F.desc(score)))
+    step = step.select(*by, score, "tp", "n", "positives", below.alias("_below"))
+    joined = step.join(cuts, list(by)) if by else step.crossJoin(F.broadcast(cuts))  # one row of n thresholds
+    own = F.filter("_q", lambda t: (t <= F.col(score)) & (F.col("_below").isNull() | (t > F.col("_below"))))
+    at = joined.select(*by, "tp", "n", "positives", F.explode(own).alias("threshold"))
+    csi = F.col("tp") / F.greatest(F.col("n") + F.col("positives") - F.col("tp"), F.lit(1))
+    best = F.max_by(F.struct("threshold", "csi"), F.struct("csi", -F.col("threshold")))
+    return at.withColumn("csi", csi).groupBy(*by).agg(best.alias("_b")).select(*by, "_b.threshold", "_b.csi")
 
 
 def budget_capture(scores: DataFrame, fractions: Sequence[float] = (0.05, 0.10, 0.20), by: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
@@ -215,19 +217,22 @@ def _seeds(spark: SparkSession, n: int, chunk: int = 100) -> DataFrame:
 
 
 def resampled(rows: DataFrame, columns: Sequence[str], draw, n: int, seed: int = 0) -> DataFrame:
-    """(rep, value) of n resamples.  rows is one model's days, a bounded calendar, which goes to every chunk of
-    replicates; draw(frame, rng) gives one value.  Each replicate has its own generator, so results do not depend on
-    the partitioning."""
+    """(rep, value) of n resamples; draw(frame, rng) gives one value.
+
+    rows is one model's days, a bounded calendar; each chunk of replicates is a group that holds
+    them once, so they pass from executor to executor.  Each replicate has its own generator, so
+    results do not depend on the partitioning.  No rows give no replicates.
+    """
     ship(rows.sparkSession)
-    data = rows.select(*columns).orderBy(*columns).toPandas()  # days of one calendar
+    columns = list(columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for first, count in zip(b["first"], b["count"], strict=True):
-                reps = range(first, first + count)
-                yield pd.DataFrame({"rep": reps, "value": [draw(data, np.random.default_rng([seed, r])) for r in reps]})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        data = pdf[columns].sort_values(columns, ignore_index=True)
+        reps = range(key[0], key[0] + key[1])
+        return pd.DataFrame({"rep": reps, "value": [draw(data, np.random.default_rng([seed, r])) for r in reps]})
 
-    return _seeds(rows.sparkSession, n).mapInPandas(run, "rep long, value double").where("not isnan(value)")
+    chunks = _seeds(rows.sparkSession, n)  # a row for each chunk of replicates
+    return rows.select(*columns).crossJoin(F.broadcast(chunks)).groupBy("first", "count").applyInPandas(run, "rep long, value double").where("not isnan(value)")
 
 
 def interval(values: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import nulled, rolling, series
-from tidemark.operators.series import days_since, densify, ewm_mean, spell_length, wet_days
+from tidemark.operators.series import days_since, densify, ewm_mean, spell_length, wet_before
 
 #: fixed value: months of the north-east monsoon
 MONSOON = (11, 12, 1, 2, 3)
@@ -45,7 +45,7 @@ def build_features(rain: DataFrame, forecast: DataFrame | None = None) -> DataFr
     mean = F.col("obs_total_mean")
     out = {f"obs_1d_{c}": F.lag(f"obs_{c}", 1).over(w) for c in ("total_mean", "total_max", "hourly_max")}
     out |= {f"obs_{n}d_mean": rolling(mean, "sum", -n, -1, n) for n in (3, 7, 14, 30)}
-    f = f.withColumns(out).withColumn("_wet", wet_days(f, "obs_total_mean"))
+    f = f.withColumns(out).withColumn("_wet", wet_before("obs_total_mean"))
     f = f.withColumn("obs_wet_days_7d", rolling(F.col("_wet"), "sum", -6, 0, 7)).withColumns(month_columns())
     f = f.withColumns({"nowcast_total_max": F.col("obs_total_max"), "nowcast_hourly_max": F.col("obs_hourly_max")})
     f = f.drop("_wet", "obs_total_mean", "obs_total_max", "obs_hourly_max")

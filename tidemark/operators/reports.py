@@ -7,15 +7,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import physics, text
-from tidemark.functions.columns import nulled, rolling, series
+from tidemark.functions.columns import all_present, nulled, rolling, series
 from tidemark.operators import evaluation as ev
 from tidemark.operators import events, features, intervals
 from tidemark.operators import series as op
 from tidemark.session import ship
+from tidemark.sources.readers import union_periods
 
 # When the regional model's archive starts, and the columns of its part.
 NWP_START = "2021-04-01"
@@ -217,28 +218,101 @@ def precursors(values: DataFrame, floods: DataFrame, columns: Sequence[str], lea
     return lag_profile(values, floods, used, [0]).where(F.col("n") >= least_events).drop("lag") if used else values.sparkSession.createDataFrame([], "series string, n long, mean_pct double")
 
 
-def event_rain_ranks(local: DataFrame, area: DataFrame, details: DataFrame) -> DataFrame:
-    """(event_id, local_total, local_peak3, area_total, local_pct, area_pct): rain at an event's place and over the area, each
-    among the control days of its own series.
+def event_rain_ranks(local: DataFrame, area: DataFrame, details: DataFrame, window: int = 45, buffer: int = 3, reach: int = 3) -> DataFrame:
+    """(event_id, n_controls, and for each statistic its value on the event's day and its place among control days, *_pct).
 
-    local: event_id, time, mm.  area: time, mm.  details: event_id, day.
+    Statistics: area_day, local_day (totals), local_peak3, area_peak3 (largest 3-hour sums of the day), local_window3 and
+    area_window3 (within `reach` hours of the onset hour, where there is one).  Areas count their wettest point.  Controls are
+    days within `window` of the event with local rain, not within `buffer` of any event.  A missing value has place 0.
+
+    local: event_id, time, mm.  area: point, time, mm.  details: event_id, day, onset_hour.
+    """
+    three = lambda df, by: df.withColumn("s", rolling(F.col("mm"), "sum", -2, 0, 3, [by], "time")).withColumns({"day": F.to_date("time"), "hour": F.hour("time")})
+    near, wide = three(local, "event_id"), three(area, "point")
+    own = near.groupBy("event_id", "day").agg(F.coalesce(F.sum("mm"), F.lit(0.0)).alias("local_day"), F.max("s").alias("local_peak3"))
+    total = features.by_point_and_day(area.withColumnRenamed("mm", "_mm"), "_mm").groupBy("day").agg(F.max("total").alias("area_day"))
+    whole = total.join(wide.groupBy("day").agg(F.max("s").alias("area_peak3")), "day", "left")
+
+    around = details.select("event_id", "onset_hour", F.col("day").alias("d0"), F.explode(F.sequence(F.date_sub("day", window), F.date_add("day", window))).alias("day"))
+    flooded = details.select(F.explode(F.sequence(F.date_sub("day", buffer), F.date_add("day", buffer))).alias("day")).distinct()
+    controls = around.join(flooded, "day", "left_anti").join(own.select("event_id", "day"), ["event_id", "day"], "left_semi")
+    days = controls.select("event_id", "day", "onset_hour", F.lit(False).alias("own")).unionByName(details.select("event_id", "day", "onset_hour", F.lit(True).alias("own")))
+
+    h = F.bround("onset_hour").cast("int")
+    hours = days.where("onset_hour is not null").select("event_id", "day", F.explode(F.sequence(F.greatest(h - reach, F.lit(0)), F.least(h + reach, F.lit(23)))).alias("hour"))
+    by_hour = wide.groupBy("day", "hour").agg(F.max("s").alias("s"))
+    windows = hours.join(near.select("event_id", "day", "hour", F.col("s").alias("a")), ["event_id", "day", "hour"], "left").join(by_hour.withColumnRenamed("s", "b"), ["day", "hour"], "left")
+    windows = windows.groupBy("event_id", "day").agg(F.max("a").alias("local_window3"), F.max("b").alias("area_window3"))
+    full = days.join(own, ["event_id", "day"], "left").join(whole, "day", "left").join(windows, ["event_id", "day"], "left")
+
+    names = ("area_day", "local_day", "local_peak3", "area_peak3", "local_window3", "area_window3")
+    mine = Window.partitionBy("event_id")  # an event's days: 2 * window + 1 at most
+    full = full.withColumns({f"_{n}": F.max(F.when(F.col("own"), F.col(n))).over(mine) for n in names})
+    place = lambda n: F.avg(F.when(~F.col("own") & F.col(n).isNotNull(), F.when(F.col(n) < F.col(f"_{n}"), 1.0).when(F.col(n) == F.col(f"_{n}"), 0.5).otherwise(0.0)))
+    timed = F.max("onset_hour").isNotNull()
+    return full.groupBy("event_id").agg(
+        F.count_if(~F.col("own")).alias("n_controls"), *(F.max(f"_{n}").alias(n) for n in names),
+        *((F.when(timed, place(n)) if n.endswith("window3") else place(n)).alias(f"{n}_pct") for n in names),
+    )
+
+
+# ---------------------------------------------------------------- periods and drivers
+
+
+def assembled(parts: Mapping[str, tuple[DataFrame, DataFrame, DataFrame]], excluded: Sequence[str], most_missing: float = 0.5) -> DataFrame:
+    """Days of all periods with features, news features and labels, and the strict and tolerant flags of exclusion_flags.
+
+    parts: period: (features, news, labels with day and label_type).  Days with a share tcwv_missing of `most_missing` or more go;
+    null counts as missing.  The day after is looked up within the period.
+    """
+    made = {k: f.join(news, "day", "left").join(labels.select("day", "label_type"), "day") for k, (f, news, labels) in parts.items()}
+    data = union_periods(made).where(F.col("tcwv_missing") < most_missing)
+    return events.exclusion_flags(data, excluded, ["period"])
+
+
+def flood_days(labels: Mapping[str, DataFrame]) -> DataFrame:
+    """(day): the flood days of all periods, once for each period that has them."""
+    return union_periods(dict(labels)).where("label_type = 'flood'").select("day")
+
+
+def daily_series(rains: Sequence[DataFrame], states: DataFrame) -> DataFrame:
+    """(day, rain, states...) on every day: the wettest point's total, of the first period that has the day, beside the states.
+
+    rains: hourly panels (time, point, precip_mm) of periods, in order.
     """
-    peak = features.rolling_peak
-    daily = local.groupBy("event_id", F.to_date("time").alias("day")).agg(F.sum("mm").alias("total"))
-    w = local.withColumn("_s", rolling(F.col("mm"), "sum", -2, 0, 3, ["event_id"], "time")).groupBy("event_id", F.to_date("time").alias("day")).agg(F.max("_s").alias("peak3"))
-    area_daily = area.groupBy(F.to_date("time").alias("day")).agg(F.sum("mm").alias("area_total")).join(peak(area, ["mm"]).withColumnRenamed("peak", "area_peak3"), "day")
-    around = details.select("event_id", F.col("day").alias("d0"), F.explode(F.sequence(F.date_sub("day", 45), F.date_add("day", 45))).alias("day"))
-    flooded = details.select(F.explode(F.sequence(F.date_sub("day", 3), F.date_add("day", 3))).alias("day")).distinct()
-    controls = around.join(flooded, "day", "left_anti")
-    own = details.join(daily, ["event_id", "day"], "left").join(w, ["event_id", "day"], "left").join(area_daily, "day", "left")
-
-    def place(series_: DataFrame, col: str, keys: list[str], name: str) -> DataFrame:
-        c = controls.join(series_.select(*keys, "day", F.col(col).alias("c")), [*keys, "day"])
-        score = F.avg(F.when(F.col("c") < F.col(col), 1.0).when(F.col("c") == F.col(col), 0.5).otherwise(0.0))
-        return own.select("event_id", col).join(c.select("event_id", "c"), "event_id").where(f"{col} is not null and c is not null").groupBy("event_id").agg(score.alias(name))
-
-    out = own.select("event_id", F.col("total").alias("local_total"), F.col("peak3").alias("local_peak3"), "area_total")
-    return out.join(place(daily, "total", ["event_id"], "local_pct"), "event_id", "left").join(place(area_daily, "area_total", [], "area_pct"), "event_id", "left")
+    tagged = [features.rain_daily(r).select("day", F.col("rain_daily").alias("rain"), F.lit(k).alias("_k")) for k, r in enumerate(rains)]
+    rain = op.first_per_key(reduce(DataFrame.unionByName, tagged), ["day"], ["_k"]).drop("_k")
+    return op.densify(rain.join(states, "day", "full"))
+
+
+def scores_by_period(data: DataFrame, scores: Sequence[str], y: str = "y", period: str = "period") -> DataFrame:
+    """(period, score, n_days, n_flood, base, ap, roc, median_flood, median_other) of each score column, pooled and by period,
+    over the days on which all of them have a value."""
+    ok = data.where(all_present(*scores))
+    both = ok.withColumn("period", F.explode(F.array(F.lit("pooled"), F.col(period).cast("string"))))
+    long = both.select("period", F.col(y).cast("int").alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("score")) for c in scores))).alias("_s")).select("period", F.col("_s.name").alias("name"), "y", F.col("_s.score").alias("score"))
+    by = ["period", "name"]
+    middle = lambda v: F.percentile(F.when(F.col("y") == v, F.col("score")), F.lit(0.5))
+    base = long.groupBy(*by).agg(F.count("*").alias("n_days"), F.sum("y").alias("n_flood"), F.avg("y").alias("base"), middle(1).alias("median_flood"), middle(0).alias("median_other"))
+    return base.join(ev.average_precision(long, by), by, "left").join(ev.roc_auc(long, by), by, "left").withColumnRenamed("name", "score")
+
+
+def pooled_scores(folds: DataFrame, sets: Mapping[str, Sequence[str]], ranks: Mapping[str, str], c: float = 0.1) -> DataFrame:
+    """(model, fold, day, y, score, threshold, alert) of the climatology, the ranked columns and the logistic models over the same folds.
+
+    Folds whose train rows have fewer than two positives give no rows.
+    """
+    used = ev.usable_folds(folds)
+    named = lambda df, n: df.select(F.lit(n).alias("model"), "fold", "day", F.col("y").cast("int").alias("y"), F.col("score").cast("double").alias("score"), F.col("threshold").cast("double").alias("threshold"))
+    parts = [named(ev.climatology(used), "climatology"), *(named(ev.rank_baseline(used, col), name) for name, col in ranks.items())]
+    fitted = ev.logistic_scores(used, {f"logistic: {n}": s for n, s in sets.items()}, c)
+    return reduce(DataFrame.unionByName, [*parts, fitted.select(*parts[0].columns)]).withColumn("alert", F.col("score") >= F.col("threshold"))
+
+
+def combined_report(parts: Mapping[str, DataFrame], cutoffs: Sequence[str], sets: Mapping[str, Sequence[str]], ranks: Mapping[str, str], n_boot: int = 2000, n_perm: int = 2000) -> DataFrame:
+    """The summary row of every model over the pooled days (day, y, columns...) of all periods."""
+    scores = pooled_scores(ev.expanding_folds(union_periods(dict(parts)), cutoffs), sets, ranks)
+    return summary(scores, ["climatology", *(f"logistic: {n}" for n in sets)], n_boot, n_perm)
 
 
 def sampling_report(articles: DataFrame, found: DataFrame, pages: DataFrame, n: int = 6) -> DataFrame:

@@ -80,17 +80,15 @@ def trailing_sums(df: DataFrame, col: str, spans: Sequence[int], by: Sequence[st
     return df.withColumns({f"{col}_{n}d": rolling(F.col(col), "sum", -n, -1, n, by) for n in spans})
 
 
-def wet_days(df: DataFrame, col: str, n: int = 7, above: float = 1.0, keep_null: bool = False, by: Sequence[str] = ()) -> Column:
-    """Rows of the n before each row above a value.  keep_null: a missing value makes the count missing,
-    else it counts as not above."""
-    before = F.lag(col, 1).over(series(by))
-    flag = (before > above).cast("double") if keep_null else yes(before > above).cast("double")
-    return flag
+def wet_before(col: str, above: float = 1.0, keep_null: bool = False, by: Sequence[str] = ()) -> Column:
+    """1 where the row before is above a value, else 0.  keep_null: null where that value is missing."""
+    before = F.lag(col, 1).over(series(by)) > above
+    return (before if keep_null else yes(before)).cast("double")
 
 
 def wet_day_counts(df: DataFrame, col: str, n: int = 7, above: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """wet_counted (missing counts as dry) and wet_strict (missing makes the count missing)."""
-    made = df.withColumns({"_a": wet_days(df, col, n, above, False, by), "_b": wet_days(df, col, n, above, True, by)})
+    made = df.withColumns({"_a": wet_before(col, above, False, by), "_b": wet_before(col, above, True, by)})
     return made.withColumns({"wet_counted": rolling(F.col("_a"), "sum", -n + 1, 0, n, by), "wet_strict": rolling(F.col("_b"), "sum", -n + 1, 0, n, by)}).drop("_a", "_b")
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import nested, physics, text
 from tidemark.operators import evaluation as ev
-from tidemark.operators import events as events_op
 from tidemark.operators import features, harmonics, intervals, reports, tables
 from tidemark.operators import series as op
-from tidemark.plans.series_queries import CLUSTERS, DAILY, SPIKES, daily, r6, spiky, table
+from tidemark.plans.series_queries import CLUSTERS, SPIKES, R, daily, r6, spiky, table
 from tidemark.sources import readers, sinks
 
 QUERIES, ORACLE = {}, {}
@@ -709,18 +708,53 @@ def lag_profile(spark, d):
     return r6(reports.lag_profile(daily(spark, d), spiky(spark, d).where("spike").select("day"), ["n_loose"], [0, 1]), "mean_pct")
 
 
-@query()
+def _details_sql(n: str) -> str:
+    return f"avg(CASE WHEN NOT own AND {n} IS NOT NULL THEN CASE WHEN {n} < o_{n} THEN 1.0 WHEN {n} = o_{n} THEN 0.5 ELSE 0.0 END END)"
+
+
+STATS = ("area_day", "local_day", "local_peak3", "area_peak3", "local_window3", "area_window3")
+
+
+@query(f"""WITH {CLUSTERS}, {R}, det AS (SELECT event_id, ev.start AS day, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 9 AS DOUBLE) / 2 END AS onset, CAST(CASE event_id % 3 WHEN 1 THEN CASE event_id % 9 WHEN 1 THEN 0 WHEN 4 THEN 2 ELSE 4 END WHEN 2 THEN CASE event_id % 9 WHEN 2 THEN 1 WHEN 5 THEN 2 ELSE 4 END END AS INTEGER) AS h FROM ev),
+rh AS (SELECT point, day, hour, coalesce(sum(mm), 0) AS mm FROM r GROUP BY point, day, hour), s3 AS (SELECT *, CASE WHEN count(mm) OVER w = 3 THEN sum(mm) OVER w END AS s FROM rh WINDOW w AS (PARTITION BY point ORDER BY day, hour ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+loc AS (SELECT day, sum(mm) AS local_day, max(s) AS local_peak3 FROM s3 WHERE point = 'p1' GROUP BY day), ar AS (SELECT day, max(t) AS area_day, max(p) AS area_peak3 FROM (SELECT point, day, sum(mm) AS t, max(s) AS p FROM s3 GROUP BY point, day) GROUP BY day),
+buf AS (SELECT DISTINCT CAST(unnest(generate_series(day - 3, day + 3, INTERVAL 1 DAY)) AS DATE) AS day FROM det),
+ctl AS (SELECT event_id, h, CAST(unnest(generate_series(day - 45, day + 45, INTERVAL 1 DAY)) AS DATE) AS day FROM det),
+dd AS (SELECT event_id, h, day, false AS own FROM ctl WHERE day NOT IN (SELECT day FROM buf) AND day IN (SELECT day FROM loc) UNION ALL SELECT event_id, h, day, true FROM det),
+win AS (SELECT event_id, dd.day, max(CASE WHEN point = 'p1' THEN s END) AS local_window3, max(s) AS area_window3 FROM dd JOIN s3 ON s3.day = dd.day AND h IS NOT NULL AND hour BETWEEN greatest(h - 3, 0) AND least(h + 3, 23) GROUP BY event_id, dd.day),
+f AS (SELECT dd.event_id, dd.h, dd.day, own, area_day, local_day, local_peak3, area_peak3, local_window3, area_window3 FROM dd LEFT JOIN loc USING (day) LEFT JOIN ar USING (day) LEFT JOIN win ON win.event_id = dd.event_id AND win.day = dd.day),
+g AS (SELECT *, {', '.join(f'max(CASE WHEN own THEN {n} END) OVER (PARTITION BY event_id) AS o_{n}' for n in STATS)} FROM f)
+SELECT event_id, count(*) FILTER (NOT own) AS n_controls, {', '.join(f'max(o_{n}) AS {n}' for n in STATS)}, {', '.join(f"{'CASE WHEN max(h) IS NOT NULL THEN ' if n.endswith('window3') else ''}round({_details_sql(n)}, 6){' END' if n.endswith('window3') else ''} AS {n}_pct" for n in STATS)} FROM g GROUP BY event_id""")
 def event_rain_ranks(spark, d):
     from tidemark.plans.series_queries import rain_panel
 
-    rain = rain_panel(spark, d).select("time", F.col("precip_mm").alias("mm"), "point")
-    area = rain.groupBy("time").agg(F.avg("mm").alias("mm"))
-    details = op.cluster_days(spiky(spark, d).where("spike").select("day")).select("event_id", F.col("start").alias("day"))
-    local = rain.where("point = 'p1'").groupBy("time").agg(F.sum("mm").alias("mm")).crossJoin(F.broadcast(details.select("event_id")))  # tens of events
-    return reports.event_rain_ranks(local, area, details)
+    rain = rain_panel(spark, d).groupBy("point", "time").agg(F.coalesce(F.sum("precip_mm"), F.lit(0.0)).alias("mm"))
+    k = F.col("event_id")
+    details = op.cluster_days(spiky(spark, d).where("spike").select("day")).select("event_id", F.col("start").alias("day"), F.when(k % 3 > 0, (k % 9) / 2.0).cast("double").alias("onset_hour"))
+    local = rain.where("point = 'p1'").select("time", "mm").crossJoin(F.broadcast(details.select("event_id")))  # tens of events
+    ranks = reports.event_rain_ranks(local, rain, details)
+    return r6(ranks, *(f"{n}_pct" for n in STATS))
 
 
-@query()
+@query(f"""WITH {NESTED},
+l AS (SELECT k, bool_or(adm1 = 'MY12') AS has_selangor, bool_or(adm1 = 'MY14') AS has_kl FROM p GROUP BY k), h AS (SELECT k, bool_or(theme LIKE '%FLOOD%') AS flood FROM t GROUP BY k),
+m AS (SELECT p.k, min(abs(p.off - t.off)) AS dist FROM p JOIN t USING (k) WHERE adm1 IN ('MY12', 'MY14') AND theme LIKE '%FLOOD%' GROUP BY p.k),
+x AS (SELECT CAST(date + INTERVAL 8 HOUR AS DATE) AS day, domain, my_domain, coalesce(has_selangor, false) AS has_selangor, coalesce(has_kl, false) AS has_kl, coalesce(flood, false) AND coalesce(dist <= 300, true) AS strict
+  FROM art LEFT JOIN l USING (k) LEFT JOIN h USING (k) LEFT JOIN m USING (k) WHERE coalesce(has_selangor, false) OR coalesce(has_kl, false)),
+c AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM x),
+n AS (SELECT day, count(*) AS n_loose, count(*) FILTER (strict) AS n_strict, count(*) FILTER (strict AND my_domain) AS n_strict_my, count(DISTINCT CASE WHEN strict THEN domain END) AS n_strict_domains,
+  count(*) FILTER (strict AND has_selangor) AS n_strict_selangor, count(*) FILTER (strict AND has_kl) AS n_strict_kl FROM x GROUP BY day)
+SELECT c.day, {', '.join(f'coalesce({n}, 0) AS {n}' for n in ('n_loose', 'n_strict', 'n_strict_my', 'n_strict_domains', 'n_strict_selangor', 'n_strict_kl'))} FROM c LEFT JOIN n USING (day)""")
+def strict_tier_of_parsed_articles(spark, d):
+    arts, _ = nested.build_tables(raw_v2(spark, d))
+    return op.tier_counts(nested.article_days(arts))
+
+
+@query(f"""WITH {CLUSTERS}, w AS (SELECT ev.event_id, a.* FROM a JOIN ev ON a.day BETWEEN ev.start AND ev.end WHERE has_target AND strict AND my_domain),
+f AS (SELECT *, row_number() OVER (PARTITION BY event_id, domain ORDER BY n_my_places, day, url) AS k FROM w),
+g AS (SELECT event_id, url, row_number() OVER (PARTITION BY event_id ORDER BY n_my_places, day, url) AS place FROM f WHERE k = 1)
+SELECT event_id, '[' || string_agg('{{"place":' || place || ',"url":' || url || CASE WHEN doc_id IS NULL THEN ',"flood_sentences":[]}}' ELSE ',"title":"title","flood_sentences":["Banjir."]}}' END, ',' ORDER BY place) || ']' AS samples
+FROM g LEFT JOIN documents ON doc_id = url WHERE place <= 6 GROUP BY event_id""")
 def sampling_report(spark, d):
     from tidemark.plans.series_queries import articles
 
@@ -755,14 +789,12 @@ def stream_feed_dedupe(spark, d):
     from tidemark.streaming import feed
 
     name = f"feed_{uuid.uuid4().hex[:12]}"
-    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_streams/{name}"
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_streams/{name}"
+    root = f"{folder}/lines"
     blank = lambda n: [F.lit("")] * n
     p = table(spark, d, "pages")
     line = F.concat_ws("\t", F.col("page_id").cast("string"), F.lit("20240101000000"), *blank(1), F.lit("src"), F.expr("concat('u', page_id % 50)"), *blank(3), F.lit("FLOOD,5"), *blank(1), F.lit("Malaysia"), *blank(4), F.lit("0"))
     p.select(line.alias("value")).write.text(root)
     stream = feed.first_arrivals(feed.stream_feed(spark, root, "Malaysia", "en"))
-    spark.conf.set("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
-    return feed.drain(stream.select("DocumentIdentifier", "V2Themes", "Collection"), name)
-
+    return feed.drain(stream.select("DocumentIdentifier", "V2Themes", "Collection"), name, checkpoint=f"{folder}/checkpoint")
 
-_ = (CLUSTERS, DAILY, events_op)

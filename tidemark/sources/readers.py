@@ -1,9 +1,11 @@
-"""Readers with explicit schemas.  All of them are lazy scans; fetching pages or feeds is left to the caller."""
+"""Readers with explicit schemas: lazy scans, and pages through a cache; what asks the network is given by the caller."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +120,57 @@ def cached_pages(urls: DataFrame, cache: DataFrame) -> DataFrame:
     return urls.withColumn("_k", cache_key(F.col("url"))).join(known, "_k", "left").drop("_k").withColumn("fetched", F.col("text").isNotNull())
 
 
+def fetched(urls: DataFrame, get: Callable[[str], tuple[int, str]], tries: int = 3, wait: float = 5.0) -> DataFrame:
+    """(url, body, error) of each url, by get(url) -> (status, body) on the executors.
+
+    Answers of 429 and from 500 on and exceptions are tried again, after wait, 2 * wait, ... seconds; then the
+    status or the exception's name is the error, and the body is null.
+    """
+    from tidemark.session import ship
+
+    ship(urls.sparkSession)
+
+    def one(url: str) -> tuple[str | None, str | None]:
+        error = None
+        for k in range(tries):
+            if k:
+                time.sleep(wait * k)
+            try:
+                status, body = get(url)
+            except Exception as e:  # noqa: BLE001  old pages fail in many ways
+                error = type(e).__name__
+                continue
+            if status == 200:
+                return body, None
+            error = f"HTTP {status}"
+            if status != 429 and status < 500:
+                break
+        return None, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [one(u) for u in b["url"]]
+            yield pd.DataFrame({"url": b["url"], "body": [x for x, _ in got], "error": [e for _, e in got]}, dtype=object)
+
+    return urls.select("url").mapInPandas(run, "url string, body string, error string")
+
+
+def pages_through_cache(urls: DataFrame, path: str, get: Callable[[str], tuple[int, str]], tries: int = 1, wait: float = 5.0) -> DataFrame:
+    """cached_pages of urls over the Parquet cache at path, after pages that it lacks were fetched, read and added to it.
+
+    Failures are cached too, so a failed url is not asked again.
+    """
+    from tidemark.functions.text import html_fields
+
+    spark = urls.sparkSession
+    ddl = ", ".join(f"{f.name} string" for f in PAGE)
+    new = urls.select("url").where("url is not null").distinct().join(optional(spark, path, ddl).select("url"), "url", "left_anti")
+    f = html_fields(F.col("body"))
+    made = fetched(new, get, tries, wait).withColumn("_f", F.when(F.col("body").isNotNull(), f))
+    made.select("url", "_f.meta_date", "_f.title", "_f.text", "error").write.mode("append").parquet(path)
+    return cached_pages(urls, spark.read.schema(ddl).parquet(path))
+
+
 def json_column(df: DataFrame, col: str, ddl: str) -> DataFrame:
     """The fields of a JSON string column beside the others."""
     return df.withColumn("_j", F.from_json(col, ddl)).select(*df.columns, "_j.*")

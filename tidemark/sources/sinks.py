@@ -25,8 +25,13 @@ def report_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def daily_tsv(df: DataFrame, path: str, day: str = "day") -> None:
-    """gzip TSV with a header, a folder for each day; only the days written are replaced."""
+def daily_tsv(df: DataFrame, path: str, day: str = "day", missing: DataFrame | None = None) -> None:
+    """gzip TSV with a header, a folder for each day; only the days written are replaced.
+
+    missing: (day, ts, kind) of files that could not be had, which goes beside it, to path + ".missing".
+    """
+    if missing is not None:
+        daily_tsv(missing, path.rstrip("/") + ".missing", day)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).csv(path, sep="\t", header=True, compression="gzip")
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.session import ship
 from tidemark.sources.readers import feed_lines
 
 
@@ -31,6 +37,32 @@ def clusters(days: DataFrame, gap: str = "2 days", late: str = "3 days") -> Data
     return days.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
 
 
+def trailing_spikes(days: DataFrame, span: int = 60, least: int = 15, z: float = 3.5, least_count: int = 4) -> DataFrame:
+    """(series, day, n, baseline, z, spike) of a stream of daily counts (series, day, n) in order of days.
+
+    The batch rule looks at days on either side, a stream cannot: here a day is held against the median and
+    the median deviation of the `span` days before it, of which there must be `least`; they are the state of a series.
+    """
+    ship(days.sparkSession)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        past = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values("day")
+        out = []
+        for day, n in zip(rows["day"], rows["n"], strict=True):
+            before, score, middle = np.array(past[-span:]), None, None
+            if len(before) >= least:
+                middle = float(np.median(before))
+                score = (n - middle) / max(1.4826 * float(np.median(np.abs(before - middle))), 1.0)
+            out.append((key[0], day, int(n), middle, score, bool(score is not None and score >= z and n >= least_count)))
+            past.append(float(n))
+        state.update((past[-span:],))
+        yield pd.DataFrame(out, columns=["series", "day", "n", "baseline", "z", "spike"])
+
+    schema = "series string, day date, n long, baseline double, z double, spike boolean"
+    return days.select("series", "day", "n").groupBy("series").applyInPandasWithState(run, schema, "past array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def land_by_day(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write all that is there into day partitions and stop; a restart goes on from the checkpoint, and a batch that
     is run again replaces its own files."""
@@ -42,8 +74,8 @@ def land_by_day(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there into a table in memory; for small results and tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
     return stream.sparkSession.table(name)
