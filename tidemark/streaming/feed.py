@@ -32,9 +32,10 @@ def daily_counts(stream: DataFrame, hours: int = 8, late: str = "1 day") -> Data
     return local.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("SourceCommonName").alias("domains")).select(F.to_date("w.start").alias("day"), "n", "domains")
 
 
-def clusters(days: DataFrame, gap: str = "2 days", late: str = "3 days") -> DataFrame:
-    """Sessions of event times no further apart than the gap."""
-    return days.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+def clusters(days: DataFrame, by: str = "series", gap: str = "2 days", late: str = "3 days") -> DataFrame:
+    """Sessions of the event times of each series that are less than the gap apart; a stream needs the key."""
+    found = days.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    return found.select(by, "n", "start", "end")
 
 
 def trailing_spikes(days: DataFrame, span: int = 60, least: int = 15, z: float = 3.5, least_count: int = 4) -> DataFrame:
