@@ -349,3 +349,101 @@ def test_network_by_brute_force():
     assert np.abs(before.tokens - 0.5 * tokens - net.tokens).max() < 1e-4
     assert np.abs(before.embed - 0.5 * embed - net.embed).max() < 1e-4
     assert np.abs(before.bias - 0.5 * bias - net.bias).max() < 1e-4
+
+
+def test_score_by_brute_force(spark, docs, labels, monkeypatch):
+    """Terms, stems and words one edit away are looked up one by one, quotations span by span."""
+    fitted = []
+    plain = toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: fitted.append(plain(x, y)) or fitted[-1])
+    terms, stems = toxicity.learn_lexicon(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", toxicity.SAMPLE))
+    some = docs.where("doc_id % 9 = 0").select("doc_id", "text")
+    got = {r[ID]: r["score"] for r in toxicity.toxicity(docs, labels).where(f"{ID} % 9 = 0").collect()}
+    weights, bias = fitted[-1]
+    weights = [min(w, 0.0) if k == 4 else max(w, 0.0) for k, w in enumerate(weights)]
+    if weights[2] == 0:
+        weights[2] = weights[0] / 2
+
+    def kind(word):
+        exact = terms.get(word, 0.0)
+        stem = max((w for s, w in stems.items() if word.startswith(s)), default=0.0)
+        near = max((w for t, w in terms.items() if len(t) >= toxicity.FUZZY and len(word) >= toxicity.FUZZY - 1 and t != word and abs(len(t) - len(word)) < 2 and min_edits(t, word) == 1), default=0.0)
+        best = max((exact, 3, 1), (stem, 2, 2), (near, 1, 3))
+        return (best[2], best[0]) if best[0] else (0, 0.0)
+
+    known = {}
+    for r in some.collect():
+        low = (r["text"] or "").lower()
+        spans, abuse, quoted = toxicity.quoted_spans(low), [], 0
+        for i, m in enumerate(re.finditer(toxicity.WORD, low)):
+            if m[0] not in known:
+                known[m[0]] = kind(m[0])
+            k = known[m[0]]
+            if k[0]:
+                if any(a < m.start() and m.end() < b for a, b in spans):
+                    quoted += 1
+                else:
+                    abuse.append((i, m[0], *k))
+        sums = [0.0] * 4
+        for word in sorted({a[1] for a in abuse}):
+            k, w = known[word]
+            sums[k if w >= toxicity.SURE else 0] += w
+        sure = [i for i, _, _, w in abuse if w >= toxicity.SURE]
+        near = sum(b - a <= toxicity.CONTEXT for a, b in zip(sure, sure[1:]))
+        x = np.log1p([*sums[1:], near, quoted, sums[0]])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(x @ weights + bias))), abs=1e-9)
+
+
+def test_stages_by_brute_force(spark, docs, labels):
+    """Each stage against plain Python on what it was given."""
+    at = docs.where("doc_id < 260").unionByName(docs.where("doc_id % 41 = 0 and doc_id >= 260"))
+    long = docs.where("length(text) > 3000").orderBy("doc_id").limit(3).collect()
+    edited = [(90_000 + k, " ".join("e" if j == 7 else w for j, w in enumerate(r["text"].split(" "))), r["lang"], "s", 1) for k, r in enumerate(long)]
+    shared = " ".join(long[0]["text"].split(" ")[100:170])
+    spread = [(91_000 + k, f"{r['text'][:900].rsplit(' ', 1)[0]} {shared} {k}", r["lang"], "s", 1) for k, r in enumerate(long)]
+    at = at.unionByName(spark.createDataFrame(edited + spread, at.schema))
+    bench = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    step = lambda k, before: corpus_pipeline.keep(corpus_pipeline.STAGES[k][1](spark, before, DATA), "brute")
+    texts = lambda df: {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+
+    good = step(0, at)
+    judged = {r[ID]: r["kept"] for r in quality.quality_classifier(at, labels).collect()}
+    assert texts(good) == {k: t for k, t in texts(at).items() if judged[k]}
+
+    before, after = texts(good), texts(step(1, good))
+    words_of = {k: split(lower(t)) for k, t in before.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for k, w in words_of.items()}
+    first = {k: k for k in sets}
+    for _ in range(3):
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    first[a] = first[b] = min(first[a], first[b])
+    assert set(after) == {k for k in before if first[k] == k}
+    one = step(1, good)
+
+    cut = step(2, one)
+    whole = texts(one)
+    before = {k: split(t) for k, t in whole.items()}
+    seen = Counter(tuple(w[i : i + 35]) for w in before.values() for i in range(len(w) - 34))
+    for k, t in texts(cut).items():
+        w = before[k]
+        hit = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        assert t == (" ".join(x for j, x in enumerate(w) if j not in hit) if hit else whole[k])
+    assert texts(cut) != whole
+
+    clean = step(3, cut)
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    windows = {tuple(w[i : i + min(10, len(w))]) for w in map(alnum, bench) if w for i in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    dirty = {k for k, t in texts(cut).items() for w in [alnum(t)] for n in sizes if any(tuple(w[i : i + n]) in windows for i in range(len(w) - n + 1))}
+    assert set(texts(clean)) == set(texts(cut)) - dirty
+
+    pieces = corpus_pipeline.STAGES[4][1](spark, clean, DATA).toPandas()
+    from tidemark.llm import tokens
+
+    core, special = tokens.byte_encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    n = {k: len(core.encode(t, special)) + 1 for k, t in texts(clean).items()}
+    assert pieces.groupby("doc_id")["length"].sum().to_dict() == n and (pieces["offset"] == 0).all() and pieces["sequence_id"].is_unique
