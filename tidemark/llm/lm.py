@@ -43,9 +43,12 @@ FAN_IN = 32
 
 
 class Network:
-    """Parameters: embeddings by position, hidden bias, class weights, token weights by class."""
+    """Parameters: embeddings by position, hidden bias, class weights, token weights by class.
 
-    SHAPES = {"embed": (2 * WINDOW, VOCABULARY, DIM), "bias": (DIM,), "classes": (CLASSES, DIM), "class_bias": (CLASSES,), "tokens": (CLASSES, PER_CLASS, DIM), "token_bias": (CLASSES, PER_CLASS)}
+    Class and token weights have their bias as a last column, which hidden rows meet with a 1.
+    """
+
+    SHAPES = {"embed": (2 * WINDOW, VOCABULARY, DIM), "bias": (DIM,), "outer": (CLASSES, DIM + 1), "inner": (CLASSES, PER_CLASS, DIM + 1)}
 
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
@@ -56,64 +59,73 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        self.classes, self.class_bias = self.outer[:, :DIM], self.outer[:, DIM]
+        self.tokens, self.token_bias = self.inner[:, :, :DIM], self.inner[:, :, DIM]
 
     @classmethod
     def size(cls) -> int:
         return sum(int(np.prod(s)) for s in cls.SHAPES.values())
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
+        """Hidden rows, each with a last 1."""
         h = np.take(self.embed[0], context[:, 0], axis=0)
         for k in range(1, 2 * WINDOW):
             h += np.take(self.embed[k], context[:, k], axis=0)
         h += self.bias
-        return np.tanh(h, out=h)
+        out = np.ones((len(h), DIM + 1), dtype=np.float32)
+        np.tanh(h, out=out[:, :DIM])
+        return out
+
+    def _among(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the activations of all classes, (class, row), and their sum for each row."""
+        e = _exp(self.outer @ h.T)
+        return e, _ONES[:CLASSES] @ e
 
-    def _within(self, h: np.ndarray, tiles: Tiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each tile: token weights, hidden rows, and activations of the tokens of its class."""
-        x = np.zeros((tiles.slots, DIM), dtype=np.float32)
+    def _within(self, h: np.ndarray, tiles: Tiles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each tile: token weights, hidden rows, exponentials of the activations of its class's tokens and their sums."""
+        x = np.zeros((tiles.slots, DIM + 1), dtype=np.float32)
         x[tiles.slot] = h[tiles.order]
-        x = x.reshape(-1, TILE, DIM)
-        w = self.tokens[tiles.own]
-        z = np.matmul(w, x.transpose(0, 2, 1))
-        z += self.token_bias[tiles.own][:, :, None]
-        return w, x, z
+        x = x.reshape(-1, TILE, DIM + 1)
+        w = self.inner[tiles.own]
+        e = _exp(np.matmul(w, x.transpose(0, 2, 1)))
+        return w, x, e, np.matmul(_ONES[:PER_CLASS], e).reshape(-1)
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token given its context."""
         h = self.hidden(context)
         group, inner = token // PER_CLASS, token % PER_CLASS
-        z = self.classes @ h.T
-        z += self.class_bias[:, None]
-        e = _exp(z)
-        out = np.log(e[group, np.arange(len(h))] / e.sum(axis=0))
+        e, total = self._among(h)
+        out = np.log(e[group, np.arange(len(h))] / total)
         tiles = Tiles(group)
-        e = _exp(self._within(h, tiles)[2])
+        _, _, e, total = self._within(h, tiles)
         own = e[tiles.slot // TILE, inner[tiles.order], tiles.slot % TILE]
-        out[tiles.order] += np.log(own / e.sum(axis=1).reshape(-1)[tiles.slot])
+        out[tiles.order] += np.log(own / total[tiles.slot])
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on a batch."""
+        """One step of gradient descent on a batch.
+
+        Exponentials stay as they are: what is made from them is divided by their sums, which is less to divide.
+        """
         n, h = len(token), self.hidden(context)
         group, inner = token // PER_CLASS, token % PER_CLASS
-        p = self.classes @ h.T
-        p += self.class_bias[:, None]
-        p = _softmax(p, 0)
-        p[group, np.arange(n)] -= 1
-        back = p.T @ self.classes
-        self.classes -= rate / n * (p @ h)
-        self.class_bias -= rate / n * p.sum(axis=1)
+        e, total = self._among(h)
+        e[group, np.arange(n)] -= total
+        back = e.T @ self.outer
+        back /= total[:, None]
+        self.outer -= rate / n * (e @ (h / total[:, None]))
         tiles = Tiles(group)
-        w, x, q = self._within(h, tiles)
-        q = _softmax(q, 1)
-        q.transpose(0, 2, 1)[tiles.empty()] = 0
-        q[tiles.slot // TILE, inner[tiles.order], tiles.slot % TILE] -= 1
-        back[tiles.order] += np.matmul(q.transpose(0, 2, 1), w).reshape(-1, DIM)[tiles.slot]
-        has, first = tiles.classes()
-        step = (rate / np.maximum(32, tiles.count[has])).astype(np.float32)
-        self.tokens[has] -= step[:, None, None] * np.add.reduceat(np.matmul(q, x), first, axis=0)
-        self.token_bias[has] -= step[:, None] * np.add.reduceat(q.sum(axis=2), first, axis=0)
-        back *= (1 - h * h) * (rate / 32)
+        w, x, e, total = self._within(h, tiles)
+        e[tiles.slot // TILE, inner[tiles.order], tiles.slot % TILE] -= total[tiles.slot]
+        by = np.matmul(e.transpose(0, 2, 1), w).reshape(-1, DIM + 1)[tiles.slot]
+        by /= total[tiles.slot, None]
+        back[tiles.order] += by
+        x /= total.reshape(-1, TILE, 1)  # rows of empty slots are 0
+        spread = np.zeros((CLASSES, len(tiles.own)), dtype=np.float32)
+        spread[tiles.own, np.arange(len(tiles.own))] = rate / np.maximum(32, tiles.count[tiles.own])
+        self.inner -= (spread @ np.matmul(e, x).reshape(len(tiles.own), -1)).reshape(self.inner.shape)
+        back, h = back[:, :DIM], h[:, :DIM]
+        back = back * ((1 - h * h) * np.float32(rate / 32))
         self.bias -= back.sum(axis=0) * (32 / n)
         for k in range(2 * WINDOW):  # entry by entry: one-dimensional updates are the fast ones
             np.subtract.at(self.embed[k].reshape(-1), (context[:, k, None] * DIM + np.arange(DIM)).reshape(-1), back.reshape(-1))
@@ -131,26 +143,14 @@ class Tiles:
         place = np.arange(len(group)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
         self.slot = np.repeat((np.cumsum(self.of) - self.of) * TILE, self.count) + place
 
-    def empty(self) -> np.ndarray:
-        out = np.ones(self.slots, dtype=bool)
-        out[self.slot] = False
-        return out.reshape(-1, TILE)
-
-    def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Classes that have rows, and the first tile of each."""
-        has = np.flatnonzero(self.count)
-        return has, (np.cumsum(self.of) - self.of)[has]
-
 
 def _exp(z: np.ndarray) -> np.ndarray:
     """Activations beyond 60 stay there: sums of their exponentials stay finite."""
     return np.exp(np.clip(z, -60, 60, out=z), out=z)
 
 
-def _softmax(z: np.ndarray, axis: int) -> np.ndarray:
-    e = _exp(z)
-    e /= e.sum(axis=axis, keepdims=True)
-    return e
+#: sums over classes or tokens as products, which are faster than reductions
+_ONES = np.ones(max(CLASSES, PER_CLASS), dtype=np.float32)
 
 
 def token_ids(w: Words, own: np.ndarray) -> np.ndarray:
@@ -278,10 +278,10 @@ def train(base: DataFrame, own: np.ndarray) -> Network:
 def _passes(net: Network, waiting: list[tuple[np.ndarray, np.ndarray]]) -> int:
     around, token = (np.concatenate(x) for x in zip(*waiting, strict=True))
     mixed = np.random.default_rng(len(token)).permutation(len(token))
+    around, token = around[mixed], token[mixed]
     for _ in range(PASSES):
         for lo in range(0, len(token), BATCH):
-            at = mixed[lo : lo + BATCH]
-            net.train(around[at], token[at], RATE)
+            net.train(around[lo : lo + BATCH], token[lo : lo + BATCH], RATE)
     return len(token)
 
 
