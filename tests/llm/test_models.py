@@ -1,5 +1,6 @@
 """Quality rules, the quality filter, toxicity, language-model scores and the pipeline."""
 
+import functools
 import random
 import re
 from collections import Counter
@@ -148,6 +149,57 @@ def test_ranges_come_from_all_trusted_rows(spark):
     assert quality.keep_good(d, sure, sample=60).count() == got["kept"].sum()
 
 
+def late_texts(spark):
+    """24,100 trusted texts, of which those with the largest hashes of their ids have letters of their own."""
+    rng = random.Random(5)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=4)) for _ in range(6))
+    ids = [r["id"] for r in spark.range(24_100).orderBy(F.xxhash64("id"), "id").collect()]
+    trusted = [(k, text("etaoinshr" if at < 24_000 else "zqxjk")) for at, k in enumerate(ids)]
+    new = [(30_000 + k, text("zqxjk")) for k in range(5)]
+    d = spark.createDataFrame([(*r, "en") for r in trusted + new], "doc_id long, text string, lang string")
+    return d, spark.createDataFrame([(k, 1) for k in ids], "doc_id long, quality int"), dict(trusted), dict(new)
+
+
+def test_perplexities_are_of_all_trusted_texts(spark):
+    d, sure, trusted, new = late_texts(spark)
+    got = quality.quality_classifier(d, sure).where(f"{ID} >= 30000").toPandas().set_index(ID)
+    p = functools.cache(brute_kneser_ney(trusted.values()))
+
+    def h(t):
+        s = quality.SYMBOL[np.frombuffer(t.encode(), np.uint8)].tolist()
+        grams = [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
+        return -sum(np.log(p(g)) for g in grams), len(grams)
+
+    mid = float(np.quantile([a / n for a, n in map(h, trusted.values())], 0.5))
+    for k, t in new.items():
+        total, n = h(t)
+        assert np.log(got.loc[k, "perplexity"]) == pytest.approx((total + quality.PRIOR * mid) / (n + quality.PRIOR), abs=2e-3)
+    assert got["kept"].all()
+
+
+@pytest.mark.parametrize("kind, bits", [("int", None), ("long", 3)])
+def test_only_trusted_texts_are_learned_from(spark, monkeypatch, kind, bits):
+    """With ids of another type than the labels', and with a filter of 8 bits, which lets nearly all rows pass."""
+    rng = random.Random(11)
+    rows = [(None if k == 60 else k // 2, "".join(rng.choices("etaoin shr", k=80)), "en") for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sure = spark.createDataFrame([(k, int(k < 20), k) for k in range(40)] + [(None, 1, 0)], f"doc_id {kind}, quality int, n int")
+    if bits:
+        monkeypatch.setattr(quality, "bits_for", lambda n: bits)
+    got = quality.quality_classifier(d, sure).where(f"{ID} >= 50").groupBy(ID).agg(F.min("perplexity").alias("a"), F.max("perplexity").alias("b")).collect()
+    p = functools.cache(brute_kneser_ney([t for k, t, _ in rows if k is not None and k < 20]))
+
+    def h(t):
+        s = quality.SYMBOL[np.frombuffer(t.encode(), np.uint8)].tolist()
+        return -sum(np.log(p(tuple(s[i : i + 4]))) for i in range(77))
+
+    mid = float(np.quantile([h(t) / 77 for k, t, _ in rows if k is not None and k < 20], 0.5))
+    assert len(got) == 10
+    for r in got:
+        want = sorted((h(t) + quality.PRIOR * mid) / (77 + quality.PRIOR) for k, t, _ in rows if k == r[ID])
+        assert np.log([r["a"], r["b"]]) == pytest.approx(want, abs=2e-3)
+
+
 def test_kneser_ney_sums_to_one(spark):
     rng = np.random.default_rng(1)
     buf = np.frombuffer("".join(rng.choice(list("abcde .,"), 4000)).encode(), np.uint8)
