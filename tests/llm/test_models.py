@@ -177,6 +177,14 @@ def test_perplexities_are_of_all_trusted_texts(spark):
     assert got["kept"].all()
 
 
+def test_quality_stage_learns_from_all_trusted_texts(spark, tmp_path):
+    d, sure, trusted, new = late_texts(spark)
+    sure.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.quality_filter(spark, d, str(tmp_path)).select("doc_id").collect()}
+    assert set(new) <= got
+    assert got == {r[ID] for r in quality.quality_classifier(d, sure).where("kept").select(ID).collect()}
+
+
 @pytest.mark.parametrize("kind, bits", [("int", None), ("long", 3)])
 def test_only_trusted_texts_are_learned_from(spark, monkeypatch, kind, bits):
     """With ids of another type than the labels', and with a filter of 8 bits, which lets nearly all rows pass."""
