@@ -54,6 +54,19 @@ def test_contexts_and_places(spark):
     assert one(spark, text.find_places(F.col("t")), t="in Selangor") == ["selangor"]
 
 
+def test_contexts_split_a_text_once(spark):
+    rng = random.Random(2)
+    some = ["", "flood", "a\n\nflood! "] + ["".join(rng.choice(["Rain", "floods", "x", " flood"]) + rng.choice([". ", "! ", "\n", "?  ", " "]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate([*some, None])), "i int, t string").select("i", text.contexts(F.col("t")).alias("x"))
+    got = {r["i"]: r["x"] for r in d.collect()}
+    for i, t in enumerate(some):
+        s = re.split(r"(?<=[.!?])\s+|\n", t)
+        assert got[i] == [" ".join(s[max(0, k - 1) : k + 2]) for k, x in enumerate(s) if re.search(r"\bfloods?\b", x)][:8], t
+    assert got[len(some)] is None
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1, plan  # else it is split anew for each context
+
+
 @pytest.mark.parametrize("words, want, rule", [
     ("on Oct 15", dt.date(2021, 10, 15), "explicit"), ("on 15 Dec", dt.date(2020, 12, 15), "explicit"), ("Feb 30, on Monday", dt.date(2021, 10, 18), "weekday"),
     ("pada Rabu", dt.date(2021, 10, 20), "weekday"), ("semalam", dt.date(2021, 10, 19), "yesterday"), ("hari ini", dt.date(2021, 10, 20), "today"), ("nothing", None, None),
