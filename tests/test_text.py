@@ -139,6 +139,20 @@ def test_html(spark):
     assert (got["title"], got["meta_date"], got["text"]) == ("A  b", "2021-05-06", "A b\n" + "x" * 41 + " & y")
 
 
+def test_html_of_long_pages_is_whole(spark, tmp_path):
+    import duckdb
+
+    paragraph = "<p>" + "word " * 20 + "</p>"
+    pages = [(0, "u", "<html><head><title>T</title></head><body>" + paragraph * 1500 + "<p>" + "y" * 41 + "</p></body></html>"), (1, "v", "<html><head><title>U</title></head><body>" + "some <i>text</i> " * 9000 + "end</body></html>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert one(spark, text.html_fields(F.col("h")), h=pages[0][2])["text"] == "T\n" + ("word " * 20).strip().join(["", "\n"]) * 1500 + "y" * 41
+    got = sorted(tuple(r) for r in registry.QUERIES["html_extract"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(tuple(r) for r in con.sql(registry.ORACLE["html_extract"]).fetchall())
+    assert [r[3] > 80_000 for r in got] == [True, True]
+
+
 def test_theta_e_and_sector(spark):
     d = spark.createDataFrame([(30.0, 24.0, 1005.0)], "t double, td double, p double")
     assert d.select(physics.theta_e(F.col("t"), F.col("td"), F.col("p")).alias("v")).first()["v"] == pytest.approx(381.615763, abs=1e-5)  # the level lacks the usual 56 K, as the results to match do

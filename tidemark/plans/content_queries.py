@@ -219,7 +219,7 @@ def _markup_sql(x: str, between: str = " ") -> str:
   '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b[^>]*>.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g'), '(?is)<header\\b[^>]*>.*?</header\\s*>', ' ', 'g'), '(?is)<aside\\b[^>]*>.*?</aside\\s*>', ' ', 'g') AS bare FROM h),
 p AS (SELECT page_id, bare, {_markup_sql("regexp_extract(bare, '(?is)<title[^>]*>(.*?)</title>', 1)", '')} AS title, CASE page_id % 3 WHEN 0 THEN '2021-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-07' WHEN 1 THEN '2022-11-30' ELSE '' END AS meta_date,
   list_filter(list_transform(regexp_extract_all(bare, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1), lambda x: {_markup_sql('x')}), lambda x: length(x) > 40) AS ps FROM b),
-t AS (SELECT page_id, title, meta_date, regexp_replace(title || chr(10) || CASE WHEN len(ps) > 0 THEN array_to_string(ps, chr(10)) ELSE {_markup_sql('bare')} END, '[ \\t]+', ' ', 'g')[1:60000] AS text FROM p)
+t AS (SELECT page_id, title, meta_date, regexp_replace(title || chr(10) || CASE WHEN len(ps) > 0 THEN array_to_string(ps, chr(10)) ELSE {_markup_sql('bare')} END, '[ \\t]+', ' ', 'g') AS text FROM p)
 SELECT page_id, title, meta_date, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM t""")
 def html_extract(spark, d):
     f = marked_pages(spark, d).select("page_id", text.html_fields(F.col("html")).alias("f"))
