@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as ev
-from tidemark.operators import reports, tables
+from tidemark.operators import features, reports, tables
 from tidemark.operators import series as op
 
 POINTS = {"a": (3.0, 101.5), "b": (3.5, 101.5), "c": (3.0, 102.0), "d": (3.5, 102.0), "e": (3.2, 101.7)}
@@ -48,6 +48,17 @@ def test_moisture_features(spark):
     assert got["mfc_d1_min"][1:].notna().all() and (got["mfc_d1_min"][1:] >= got["mfc_d1_mean"][1:]).all()
 
 
+def test_hours_level_with_the_edge_are_not_above_it(spark):
+    level = [0.3, 0.1 + 0.2, 0.3, 0.1 + 0.2]  # equal but for the order of sums
+    assert level[0] < level[1]
+    values = [0.05] * 6 + level * 3 + [0.1 + 0.2] * 2 + [0.4] * 4
+    rows = [(dt.datetime(2021, 1, 1, k), v) for k, v in enumerate(values)]
+    d = spark.createDataFrame(rows, "time timestamp_ntz, v double")
+    assert [tuple(r)[1:] for r in features.hours_above(d, "v").collect()] == [(4, 0.0)]
+    below = spark.createDataFrame([(t, -v) for t, v in rows], "time timestamp_ntz, v double")
+    assert [tuple(r)[1:] for r in features.hours_above(below, "v", 0.5).collect()] == [(6, 0.0)]
+
+
 def scores(spark):
     rows = [("m", dt.date(2020, 1, 1) + dt.timedelta(days=k), int(k % 11 == 0), float((k * 7) % 13), k % 3 == 0) for k in range(400)]
     return spark.createDataFrame(rows, "model string, day date, y int, score double, alert boolean")

@@ -13,6 +13,8 @@ from tidemark.operators.series import days_since, densify, ewm_mean, spell_lengt
 
 #: fixed value: months of the north-east monsoon
 MONSOON = (11, 12, 1, 2, 3)
+#: how far apart, relatively, values may be that are told equal
+TIE = 1e-12
 
 
 def by_point_and_day(hourly: DataFrame, col: str) -> DataFrame:
@@ -91,10 +93,14 @@ def previous_day(hourly: DataFrame, aggregates: dict[str, tuple[str, str]], cale
 
 
 def hours_above(hourly: DataFrame, col: str, share: float = 0.75) -> DataFrame:
-    """(day, hi_hours, missing_share): hours above the quantile of all hours, and the share without a value."""
+    """(day, hi_hours, missing_share): hours above the quantile of all hours, and the share without a value.
+
+    Values within a TIE of the quantile, relative to it, are equal to it: equal means of points differ in their last digits by the order of sums.
+    """
     edge = hourly.agg(F.percentile(col, F.lit(share)).alias("_q"))
     made = hourly.crossJoin(F.broadcast(edge))  # edge is one row
-    return made.groupBy(F.to_date("time").alias("day")).agg(F.count_if(F.col(col) > F.col("_q")).alias("hi_hours"), F.avg(F.col(col).isNull().cast("double")).alias("missing_share"))
+    above = F.col(col) > F.col("_q") + F.abs("_q") * TIE
+    return made.groupBy(F.to_date("time").alias("day")).agg(F.count_if(above).alias("hi_hours"), F.avg(F.col(col).isNull().cast("double")).alias("missing_share"))
 
 
 def rolling_peak(hourly: DataFrame, cols: Sequence[str], span: int = 3, how: str = "max") -> DataFrame:
