@@ -224,6 +224,45 @@ def test_feed_stream_resumes(spark, tmp_path):
     assert sorted(r["DocumentIdentifier"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u1", "u2"]
 
 
+def test_event_details_read_texts_once(spark):
+    rng = random.Random(3)
+    names = ["Klang", "Meru", "shah alam", "Kajang", "Sepang", "Selangor", "Kuala Lumpur", "Gombak"]
+    when = ["on Oct 15", "yesterday", "on Monday", "today", "15 Dec", ""]
+    hours = ["at 6pm", "7.30 am", "this morning", "until 9pm", "malam", ""]
+    rows, want = [], {}
+    for k in range(120):
+        e, day = k % 7, dt.date(2021, 10, 18 + k % 3)
+        bits = [f"Floods in {rng.choice(names[5:7] if e == 6 else names)} {rng.choice(when)} {rng.choice(hours)}." if e < 5 or e == 6 else rng.choice(["Floods.", "Sun."]) for _ in range(rng.randint(0, 3))]
+        rows.append((e, f"u{k // 2}", " ".join(bits), None if k % 11 == 0 else day))
+    d = spark.createDataFrame(rows, "event_id int, url string, text string, published date")
+    used = d.where("published is not null").select("event_id", "url", "published", F.explode(text.contexts(F.col("text"))).alias("c"))
+    used = used.select("*", text.resolved_date(F.col("c"), F.col("published")).alias("d"), text.extract_times(F.col("c")).alias("t"), text.find_places(F.col("c")).alias("p")).collect()
+    for e in {r["event_id"] for r in used}:
+        mine = [r for r in used if r["event_id"] == e]
+        votes, n, by = {}, {}, {}
+        for r in mine:
+            if r["d"]["date"]:
+                votes[r["d"]["date"]] = votes.get(r["d"]["date"], 0) + text.VOTES[r["d"]["rule"]]
+            for p in r["p"]:
+                n[p] = n.get(p, 0) + 1
+        n = {p: c for p, c in n.items() if p not in text.GENERIC} or n
+        for p, c in n.items():
+            by[text.GAZETTEER[p][0]] = by.get(text.GAZETTEER[p][0], 0) + c
+        times = [t for r in mine for t in r["t"]]
+        middle = lambda kind: (lambda h: round((h[(len(h) - 1) // 2] + h[len(h) // 2]) / 2 + 1e-9, 1) if h else None)(sorted(t["hour"] for t in times if t["kind"] == kind))
+        listed = lambda c, top: "; ".join(f"{x} ({k})" for x, k in sorted(c.items(), key=lambda v: (-v[1], v[0]))[:top]) or None
+        centre = [sum(text.GAZETTEER[p][k] * c for p, c in n.items()) / sum(n.values()) if n else None for k in (1, 2)]
+        best = min(votes, key=lambda x: (-votes[x], x)) if votes else None
+        want[e] = (len({r["url"] for r in mine}), best, votes.get(best), middle("clock"), sum(t["kind"] == "clock" for t in times) if times else None, middle("period"), listed(by, 3), listed(n, 5), *centre)
+    out = text.event_details(d)
+    got = {r["event_id"]: tuple(r)[1:] for r in out.collect()}
+    assert set(got) == set(want) and {5, 6} <= set(got)
+    for e, w in want.items():
+        assert got[e][:8] == w[:8], e
+        assert got[e][8:] == (pytest.approx(w[8], abs=6e-4), pytest.approx(w[9], abs=6e-4)) if w[8] else got[e][8:] == (None, None)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1  # else texts are read again for each column
+
+
 def test_times_of_whole_turns(spark, tmp_path):
     said = ["short, at 9pm", "word " * 60 + "then 11.15 pm and pukul 3 pagi", "x" * 99 + " 8 am" + " y" * 500 + " 5pm", ""]
     rows = [(k // 2, k % 2, s) for k, s in enumerate(said)]
